@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapeguard.llm import packing, quality, secrets
+from shapeguard.llm import mixing, packing, quality, secrets, simhash, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +29,44 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "mix.n_copies", "mix.copy_no", "mix.shuffle_key", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.usable(table(spark, sf_dir, "embeddings"))
+    return topk.search(vectors.where("vec_id % 100 = 0"), vectors)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(table(spark, sf_dir, "pages"))
+    ids = {c: F.col(c).cast("long") for c in ("page_id", "refers_to")}
+    return back.withColumns(ids).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_secret_scans, op3_quality_rules, op7_packing)
+    f.__name__: f for f in (
+        op2_secret_scans,
+        op3_quality_rules,
+        op4_mixing_sources,
+        op5_exact_top_k,
+        op7_packing,
+        op8_simhash_near_dedup,
+        op10_warc,
+    )
+}
+ORACLES: dict[str, str] = {
+    "op4_mixing_sources": mixing.ORACLE,
+    "op5_exact_top_k": topk.ORACLE,
+    "op10_warc": warc.ORACLE,
 }
-ORACLES: dict[str, str] = {}
