@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shapeguard.llm import packing, quality, secrets
+from shapeguard.llm import mixing, packing, quality, secrets, simhash
 from shapeguard.llm.common import cut
 from shapeguard.llm.queries import table, word_tokenizer
 
@@ -14,27 +14,41 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.clean(docs)
 
 
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group."""
+    return simhash.keep_one(docs)
+
+
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced."""
     return secrets.redact(docs)
 
 
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated or left out by their sources' rates, in shuffled order."""
+    return mixing.mix(docs).select(docs.columns)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences."""
     return packing.pack(docs, word_tokenizer())
 
 
-STAGES = [("quality rules", quality_rules), ("secret scans", secret_scans), ("packing", packed)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("simhash near-dedup", simhash_near_dedup),
+    ("secret scans", secret_scans),
+    ("mixing sources", mixed_sources),
+    ("packing", packed),
+]
 
-#: No SQL: tokenizers and wrappers have no counterpart there.
+#: SQL can express neither the fingerprints nor the tokenizer; the tests have a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage in turn, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = cut(docs, "pipeline")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -216,12 +216,33 @@ def links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, prints: DataFrame | None = None) -> DataFrame:
+def classes_of(prints: DataFrame) -> DataFrame:
+    """(fp, label): each fingerprint's component, named by one of its fingerprints."""
+    every = prints.select("fp").distinct()
+    labels = components(links(every))
+    return every.join(labels, every["fp"] == labels["node"], "left").select("fp", F.coalesce("label", "fp").alias("label"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id: the least doc_id reachable over links."""
-    prints = cut(fingerprints(docs), "prints") if prints is None else prints
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    labels = components(links(classes.select("fp")))
-    labelled = classes.join(labels, classes["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    prints = cut(fingerprints(docs), "prints")
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    labelled = cut(least.join(classes_of(prints), "fp"), "classes")
     roots = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_class = labelled.join(roots, "label").select("fp", "component_id")
-    return prints.join(of_class, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(labelled.join(roots, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents without near-duplicates: of each component the row with the
+    least doc_id (nulls last, then the least hash of its text); same columns."""
+    named = F.xxhash64(F.col("text").cast("string"))
+    # The two columns travel beside the fingerprint as one value, so that it passes through.
+    keyed = docs.select(F.struct("doc_id", named.alias("k")).alias("doc_id"), "text")
+    prints = cut(fingerprints(keyed).select("doc_id.doc_id", "doc_id.k", "fp"), "prints")
+    rows = prints.join(classes_of(prints), "fp").groupBy("label", "doc_id", "k").agg(F.count(F.lit(1)).alias("times"))
+    first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k", "times")).alias("r"))
+    kept = cut(first.select(F.col("r.doc_id").alias("__doc_id"), F.col("r.k").alias("__k"), F.col("r.times").alias("__times")), "kept")
+    found = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (named == F.col("__k")), "left_semi")
+    if kept.where("__times > 1").isEmpty():
+        return found
+    return found.withColumn("__k", named).dropDuplicates(["doc_id", "__k"]).drop("__k")
