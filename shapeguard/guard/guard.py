@@ -24,6 +24,7 @@ from shapeguard.guard.policy import DEFAULT_K, QUERIES_PER_COLUMN, Budget, check
 from shapeguard.operators import aggregate as agg
 from shapeguard.operators import dedupe, issues, profile, transforms
 from shapeguard.plans.predicate import compile_query
+from shapeguard.sources.shared import settled
 from shapeguard.sources.table import quoted
 from shapeguard.types import COMPARABLE, ROW_ID, Answered, Applied, ColumnInfo, Dataset, Query, Refused, TransformReport, TransformSpec
 
@@ -51,14 +52,6 @@ class Host:
     def dataset_changed(self, dataset: Dataset) -> None: ...
 
 
-def persisted(df: DataFrame) -> DataFrame:
-    """Cut off from its lineage, in the folder all executors share where there is one."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir"):
-        return df.checkpoint()
-    return df
-
-
 class Guard:
     """Nine questions, and the writes that a host approves."""
 
@@ -205,16 +198,14 @@ class Guard:
             named = list(dict.fromkeys(columns)) or live.names
             if bad := missing(*named) or charge(named):
                 return bad
-            out = []
-            for c in named:
-                found = issues.findings(live.df, c, k, config.as_of)
-                ids: dict[str, list[int]] = {}
-                for r in issues.row_ids(found).orderBy("code", "rank").collect():
-                    ids.setdefault(r["code"], []).append(r[ROW_ID])
-                out += [
-                    {"code": r["code"], "column": c, "row_ids": ids.get(r["code"], []), "affected": r["affected_count"], "truncated": r["truncated"]}
-                    for r in issues.summary(found).collect()
-                ]
+            found = issues.findings(live.df, named, k, config.as_of)
+            ids: dict[tuple[str, str], list[int]] = {}
+            for r in issues.row_ids(found).orderBy("code", "column", "rank").collect():
+                ids.setdefault((r["code"], r["column"]), []).append(r[ROW_ID])
+            out = [
+                {"code": r["code"], "column": r["column"], "row_ids": ids.get((r["code"], r["column"]), []), "affected": r["affected_count"], "truncated": r["truncated"]}
+                for r in issues.summary(found).collect()
+            ]
             return answered(sorted(out, key=lambda i: (-i["affected"], i["column"], i["code"])), named)
 
         def duplicates(columns: Sequence[str], threshold: float | None = None) -> Answered | Refused:
@@ -272,10 +263,10 @@ class Guard:
             if live is not before:
                 return {"status": "refused", "code": "datasetChanged", "reason": "the table changed during approval; propose it again"}
             # Only what was changed is kept for an undo, and nothing of destructive transforms.
-            previous = None if spec.destructive else persisted(transforms.previous_values(live.df, spec, rows))
+            previous = None if spec.destructive else settled(transforms.previous_values(live.df, spec, rows))
             after = transforms.commit(live.df, spec, rows)
             commits += 1
-            after = persisted(after) if commits % self.CUT_EVERY == 0 or spec.destructive else after
+            after = settled(after) if commits % self.CUT_EVERY == 0 or spec.destructive else after
             columns = tuple(c for c in live.columns if c.id != spec.column) if spec.kind == "dropColumn" else live.columns
             live = replace(live, df=after, columns=columns)
             done = Applied(f"transform_{uuid.uuid4().hex[:8]}", spec, time.time(), report.changed, previous)

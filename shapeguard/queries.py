@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import date
@@ -22,6 +21,7 @@ from shapeguard.plans.predicate import compile_query, matching_rows
 from shapeguard.session import People, Session
 from shapeguard.sources import csv as csv_source
 from shapeguard.sources.fixture import messy
+from shapeguard.sources.shared import shared_folder
 from shapeguard.sources.table import as_strings, from_dataframe, quoted
 from shapeguard.types import ROW_ID, Condition, Query, TransformSpec
 
@@ -349,7 +349,7 @@ def issue_rows(code: str, column: str) -> Callable[[SparkSession, str], DataFram
     def run(s: SparkSession, d: str) -> DataFrame:
         df = messy(s, d)
         df = df.where(F.col(ROW_ID) < 900) if code == "duplicateKey" else df
-        found = issues.findings(df, column, K, AS_OF, [code])
+        found = issues.findings(df, [column], K, AS_OF, [code])
         return public(issues.row_ids(found).join(issues.summary(found), ["code", "column"])).withColumnRenamed("column", "column_name")
 
     return run
@@ -369,7 +369,7 @@ for code, (column, rows) in ISSUES.items():
 
 
 def issues_all(s: SparkSession, d: str) -> DataFrame:
-    return issues.summary(issues.issues(messy(s, d), list(dict.fromkeys(c for _, (c, _) in sorted(ISSUES.items()))), K, AS_OF)).withColumnRenamed("column", "column_name")
+    return issues.summary(issues.findings(messy(s, d), list(dict.fromkeys(c for _, (c, _) in sorted(ISSUES.items()))), K, AS_OF)).withColumnRenamed("column", "column_name")
 
 
 def all_issues_sql() -> str:
@@ -611,8 +611,7 @@ CSV = '﻿name;phone;phone;;a;a;a (2)\n"Ani; Wijaya";007;"say ""hi""";x;1;2;3\n\
 
 def csv_file(s: SparkSession) -> str:
     """The sample file in the shared folder (or a temporary one of a local master)."""
-    shared = s.sparkContext.getConf().get("spark.checkpoint.dir") or s.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
-    path = f"{shared.rstrip('/')}/csv-{uuid.uuid4().hex}"
+    path = f"{shared_folder(s)}/csv-{uuid.uuid4().hex}"
     s.createDataFrame([(CSV.rstrip("\n"),)], "value string").coalesce(1).write.text(path)
     return path
 

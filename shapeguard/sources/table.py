@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shapeguard.sources.shared import settled
 from shapeguard.types import ROW_ID, ColumnInfo, Dataset
 
 
@@ -20,11 +21,13 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str = ROW_ID) -> Data
     """``df`` with dense numbers 0, 1, ... in ``order``, without a global window.
 
     Rows are range-partitioned and sorted; a partition's offset is the sum of the
-    counts before it, so only one count a partition reaches the driver.
+    counts before it, so only one count a partition reaches the driver. Partitions and
+    places are written down before they are counted, as their bounds come from a sample
+    that a second run would not repeat.
     """
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    placed = ranged.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
+    placed = settled(ranged.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id()))
     counts = {r["__p"]: r["n"] for r in placed.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect()}
     offsets, total = [], 0
     for p in range(max(counts, default=0) + 1):
