@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shapeguard.llm.common import cut, strings
+from shapeguard.llm.common import cut, small, strings
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S
@@ -311,7 +311,7 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hosts.clear()
         return pa.RecordBatch.from_pylist(found, out)
 
-    for batch in batches:
+    for batch in small(batches):
         for host, page in zip(strings(batch.column(0)), strings(batch.column(1)), strict=True):
             own = wrapper(parse(page))
             hosts[host] = joined(hosts[host], own) if host in hosts else own
@@ -348,7 +348,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[str, list] = {}
-    for batch in batches:
+    for batch in small(batches):
         out = []
         for page, text in zip(strings(batch.column(2)), batch.column(3).to_pylist(), strict=True):
             if text is not None and text not in known:

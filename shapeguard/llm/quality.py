@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shapeguard.llm.common import utf8
+from shapeguard.llm.common import small, utf8
 
 SYMBOLS = b"#*$%&|<>"
 #: Phrases of page furniture; a short line with one of them is boilerplate.
@@ -129,7 +129,7 @@ ARROW = pa.struct([(f.name, {"long": pa.int64(), "boolean": pa.bool_(), "double"
 
 
 def _assess(batches: Iterator[pa.RecordBatch], rules: LineRules) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         rows = [judge(data, rules)[0] for data in utf8(batch.column(1))]
         figures = pa.array(rows, ARROW)
         yield pa.RecordBatch.from_arrays([batch.column(0), *figures.flatten()], names=["doc_id", *FIGURES.names])
@@ -143,7 +143,7 @@ def assess(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
 
 
 def _clean(batches: Iterator[pa.RecordBatch], rules: LineRules, at: int, count: int | None) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         found = [judge(data, rules) for data in utf8(batch.column(at))]
         keep = pa.array([figures["kept"] for figures, _ in found], pa.bool_())
         texts = [left.decode("utf-8", "surrogatepass") for _, left in found]
@@ -160,3 +160,29 @@ def clean(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     at, names = docs.columns.index("text"), docs.columns
     count = names.index("n_chars") if "n_chars" in names else None
     return docs.mapInArrow(partial(_clean, rules=rules, at=at, count=count), docs.schema)
+
+#: The default rules in DuckDB SQL.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+b AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+        CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols FROM d),
+i AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 6)),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS n FROM i) WHERE n > 1),
+p AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM r, range(0, 5) AS g(o) GROUP BY 1),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d),
+m AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w, length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS s,
+        row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS again FROM l),
+f AS (SELECT doc_id, again, list_sum(list_transform(w, lambda x: strlen(x))) AS size,
+        (s > 0 AND (length(line) - length(replace(line, ' | ', ''))) / 3 >= 2) OR s > greatest(1, 0.25 * len(w))
+        OR (length(line) - length(replace(line, '!!', ''))) / 2 > 0.3 * len(w)
+        OR (len(w) <= 15 AND regexp_matches(line, '(?i)\b(?:cookies?|subscribe|newsletter|sign (?:in|up)|log ?in|click here|read more|share this|javascript|privacy policy|terms of (?:use|service)|all rights reserved|back to top|skip to)\b'))
+        OR NOT regexp_matches(line, '[A-Za-z]|[^\x00-\x7F]')
+        OR (len(w) > 3 AND coalesce(list_sum(list_transform(range(1, len(w)), lambda j: CAST(w[j] = w[j + 1] AS INTEGER))), 0) > 0.5 * len(w)) AS fault
+      FROM m WHERE len(w) > 0),
+q AS (SELECT doc_id, count(*) FILTER (again) AS n_dup_lines, coalesce(sum(size) FILTER (again OR fault), 0) AS lost, sum(size) AS total FROM f GROUP BY 1),
+a AS (SELECT b.*, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lost, 0) AS lost, coalesce(total, 0) AS total
+      FROM b LEFT JOIN q USING (doc_id) LEFT JOIN p USING (doc_id)),
+e AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost <= 0.5 * total AS kept,
+       CASE WHEN total > 0 THEN CAST(lost AS DOUBLE) / total ELSE 0.0::DOUBLE END AS lost_share FROM e
+"""

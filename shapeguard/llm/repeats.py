@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shapeguard.llm.common import cut, utf8
+from shapeguard.llm.common import cut, small, utf8
 
 LENGTH, TRIGGER = 200, 48
 #: Different phrases of one trigger that a task takes at once.
@@ -133,7 +133,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns += [(at - first).astype(np.int16), (at - last).astype(np.int16)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=OCCURRENCE)
 
-    for batch in batches:
+    for batch in small(batches):
         texts, d, k, size = [], [], [], 0
         for text, x, y in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             if len(text) < LENGTH:
@@ -302,7 +302,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _remove(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
     fields = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     fields += [("kept", pa.binary())] if texts else []
-    for batch in batches:
+    for batch in small(batches):
         rows = []
         for data, found in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
             spans = merged([(s["at"] + b, s["at"] + e) for s in found or () for b, e in zip(s["begin"], s["end"], strict=True)])

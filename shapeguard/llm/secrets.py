@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shapeguard.llm.common import strings
+from shapeguard.llm.common import small, strings
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -126,7 +126,7 @@ def least_bin(histogram: dict[int, int], rate: float = FALSE_DISCOVERIES) -> int
 
 def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cells: Counter = Counter()
-    for batch in batches:
+    for batch in small(batches):
         for text in strings(batch.column(0)):
             cells.update(cell(e - s, p) for s, e, p in candidates(text))
     rows = [{"length_class": a, "bin": b, "n": n} for (a, b), n in cells.items()]
@@ -161,7 +161,7 @@ SCHEMA = T.StructType([T.StructField(c, T.LongType() if t == pa.int64() else T.S
 
 
 def _scan(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         rows = []
         for text in strings(batch.column(1)):
             base, every = all_spans(text, least)
@@ -189,7 +189,7 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def _redact(batches: Iterator[pa.RecordBatch], least: int, at: int, count: int | None) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         columns = list(batch.columns)
         texts = [None if t is None else redacted(t, all_spans(t, least)[1]) for t in columns[at].to_pylist()]
         columns[at] = pa.array(texts, columns[at].type)

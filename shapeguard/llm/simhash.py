@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shapeguard.llm.common import cut, utf8
+from shapeguard.llm.common import cut, small, utf8
 from shapeguard.llm.components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -59,7 +59,7 @@ def fingerprint(data: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         found = [fingerprint(data) for data in utf8(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
 

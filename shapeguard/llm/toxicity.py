@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shapeguard.llm.common import strings
+from shapeguard.llm.common import small, strings
 
 WORD = re.compile(r"\w+")
 STEMS = (5, 4)
@@ -234,7 +234,7 @@ def train(texts: list[np.ndarray], y: np.ndarray, langs: list[str | None], ranks
 
 
 def _features(batches: Iterator[pa.RecordBatch], cfg: Training) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         out = []
         for text in strings(batch.column(0)):
             own = words(text)
@@ -342,7 +342,7 @@ class Scorer:
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(model) if model.table is not None else None
-    for batch in batches:
+    for batch in small(batches):
         texts = strings(batch.column(2))
         found = scorer.scores(texts).astype(np.float64) if scorer else np.zeros(len(texts))
         limits = np.array([model.thresholds.get(x, 0.5) for x in batch.column(3).to_pylist()], np.float64)

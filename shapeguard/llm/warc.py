@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shapeguard.llm.common import cut, fresh_path, strings, utf8
+from shapeguard.llm.common import cut, fresh_path, small, strings, utf8
 
 LEAST = 100
 #: Uncompressed bytes after which a task begins another archive.
@@ -141,7 +141,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
     store, root = filesystem(folder)
     store.create_dir(root, recursive=True)
     done, stream, name, records, size, raw = [], None, "", 0, 0, 0
-    for batch in batches:
+    for batch in small(batches):
         pages, urls = batch.column(0).to_pylist(), strings(batch.column(1))
         for page, url, payload, refers in zip(pages, urls, utf8(batch.column(2)), batch.column(3).to_pylist(), strict=True):
             if stream is None:
