@@ -82,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 ORACLES: dict[str, str] = {
+    "op3_quality_rules": quality.ORACLE,
     "op4_mixing_sources": mixing.ORACLE,
     "op5_exact_top_k": topk.ORACLE,
     "op10_warc": warc.ORACLE,
