@@ -14,52 +14,128 @@ further columns are ignored.
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache, partial
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shapeguard.llm.common import strings
+from shapeguard.llm.common import small, strings
 
 WINDOW, END_ID = 4096, 2
 #: Pieces that one packing round holds in memory; a further round opens new windows.
 ROUND = 500_000
-#: Words whose ids a worker keeps; then it starts anew.
-KEPT_WORDS = 400_000
+#: Words of a generation (see ``WordIds``).
+KEPT_WORDS = 250_000
 
 
-class WordIds:
+def byte_symbols() -> dict[int, str]:
+    """The letters that byte-level vocabularies write for bytes without a printable one."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+BYTE_SYMBOLS = byte_symbols()
+#: A comma or full stop before a blank that follows neither a letter nor a digit.
+AFTER_MARK = re.compile(r"[,.](?<=[\W_][,.]) ")
+
+
+class WordIds(dict):
     """Little-endian unsigned 32-bit ids of a text, by a tokenizer file.
 
     The tokenizer drops white space and never joins ids across it, so the ids of
     a text are those of its blank-separated parts; each distinct part is encoded
-    once and kept.
+    once and kept. It also lower-cases letter by letter and starts anew between a
+    letter or digit and a mark, so capitals and closing marks take their ids from
+    the bare word. Two generations are kept: when the younger is full, it becomes
+    the older, and words still in use come back from there.
     """
 
+    MARKS = frozenset(".,;:!?")
+
     def __init__(self, path: str):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.merges = self.tokenizer.model
+        probe = "einfachstes garçon"
+        plain = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe.split()]
+        if plain != [list(struct.unpack(f"<{len(b) // 4}I", b)) for b in map(self.encoded, probe.split())]:
+            self.merges = None  # another kind of tokenizer file
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.old.get(part)
+        if ids is None:
+            low = part.lower() if (part.isascii() or max(part) < "\u0130") and "<|" not in part else part
+            if low != part:
+                ids = self[low]
+            elif len(part) > 1 and part[-1] in self.MARKS and part[-2].isalpha():
+                ids = self[part[:-1]] + self[part[-1]]
+            else:
+                ids = self.encoded(part)
+        self[part] = ids
+        return ids
+
+    def encoded(self, part: str) -> bytes:
+        """One part's ids. Lower-case letters below U+0130 are composed already and
+        make one piece, so they go straight to the tokenizer's merges."""
+        ascii_only = part.isascii()
+        if self.merges and part.isalpha() and part.islower() and (ascii_only or max(part) < "\u0130"):
+            symbols = part if ascii_only else part.encode().decode("latin-1").translate(BYTE_SYMBOLS)
+            found = [t.id for t in self.merges.tokenize(symbols)]
+        else:
+            found = self.tokenizer.encode(part, add_special_tokens=False).ids
+        return struct.pack(f"<{len(found)}I", *found)
+
+    @staticmethod
+    def spaced(text: str) -> str:
+        """The text with blanks for its white space. Where it can't change the ids,
+        capitals are lowered and closing marks set apart for the whole text at once,
+        which leaves fewer different parts: all letters are of Latin-1, and each mark
+        before a blank follows a letter or digit."""
+        text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        if "<|" not in text:
+            text = text.lower() + " "
+            if text[0] not in ",." and not AFTER_MARK.search(text):
+                text = text.replace(", ", " , ").replace(". ", " . ")
+        return text
+
+    def many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in one array, and where each text's ids end. Each different
+        part of the batch is looked up once; ids are then gathered for all parts."""
+        if len(self) > KEPT_WORDS:
+            self.old = dict(self)
+            self.clear()
+        lists = pc.split_pattern(pa.array(map(self.spaced, texts), pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        found = [self[p] for p in coded.dictionary.to_pylist()]
+        vocabulary = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.array([len(f) // 4 for f in found], np.int64)
+        first = np.cumsum(sizes) - sizes
+        index = coded.indices.to_numpy()
+        own = sizes[index]
+        ends = np.r_[0, np.cumsum(own)]
+        ids = vocabulary[np.repeat(first[index] - ends[:-1], own) + np.arange(ends[-1])]
+        return ids, ends[lists.offsets.to_numpy()[1:] - lists.offsets.to_numpy()[0]]
 
     def __call__(self, text: str) -> bytes:
-        parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        try:
-            return b"".join([self.kept[p] for p in parts])
-        except KeyError:
-            pass
-        if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()
-        new = [p for p in dict.fromkeys(parts) if p not in self.kept]
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.kept[p] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-        return b"".join([self.kept[p] for p in parts])
+        return self.many([text])[0].tobytes()
 
 
 @cache
@@ -119,7 +195,7 @@ PIECE = pa.schema([(c, pa.int64()) for c in ("start", "length", "ids_crc32", "do
 
 
 def _pack(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    encode, end = word_ids(path), end_id.to_bytes(4, "little")
+    end = end_id.to_bytes(4, "little")
     next_id = TaskContext.get().partitionId() << 40
     pieces: list[list] = []
 
@@ -132,9 +208,10 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int
         pieces.clear()
         return pa.RecordBatch.from_arrays(arrays, names=["doc_id", *PIECE.names])
 
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
-            ids = encode(text) + end
+    for batch in small(batches):
+        every, ends = word_ids(path).many(strings(batch.column(1)))
+        for doc_id, a, b in zip(batch.column(0).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            ids = every[a:b].tobytes() + end
             n = len(ids) // 4
             for start in range(0, n, window):
                 own = ids[4 * start : 4 * (start + window)]
