@@ -271,7 +271,8 @@ def phrase_bytes(text: Column) -> Column:
 def repeated_ranges(own: DataFrame, hot: int = HOT) -> DataFrame:
     """(d, k, spans): for every text with repeats, byte ranges (a list of begin and end)."""
     parsed = own.select("text", "d", "k").mapInArrow(_parse, OCCURRENCE_SQL)
-    often = parsed.groupBy("trigger").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("trigger")
+    # Written down, so that the join shuffles both sides itself and Spark may split a hot trigger's rows.
+    often = cut(parsed.groupBy("trigger").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("trigger"), "often")
     occurrences = cut(parsed.join(often, "trigger", "left_semi"), "occurrences")
     once = [F.first(c).alias(c) for c in ("d", "k", "at")]  # one row's, as all come from the same update
     by = ["trigger", "phrase", "before", "back"]
