@@ -168,7 +168,7 @@ add(
 )
 add(
     "agg_suppressed_extremes",
-    lambda s, d: agg.aggregate(messy(s, d).where(F.col(ROW_ID) < 60), "city", "max", "amount", 3, compile_query(Query((Condition("lengthBetween", "name", min=1, max=99),)))),
+    lambda s, d: agg.aggregate(messy(s, d), "city", "max", "amount", 3, compile_query(Query((Condition("lengthBetween", "name", min=1, max=99),)))),
     duck.with_messy(duck.aggregate("(SELECT * FROM messy WHERE row_id < 60)", "city", "max", "amount", 3, "length(name) BETWEEN 1 AND 99")),
 )
 
@@ -347,9 +347,7 @@ ISSUES = {
 
 def issue_rows(code: str, column: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(s: SparkSession, d: str) -> DataFrame:
-        df = messy(s, d)
-        df = df.where(F.col(ROW_ID) < 900) if code == "duplicateKey" else df
-        found = issues.findings(df, [column], K, AS_OF, [code])
+        found = issues.findings(messy(s, d), [column], K, AS_OF, [code])
         return public(issues.row_ids(found).join(issues.summary(found), ["code", "column"])).withColumnRenamed("column", "column_name")
 
     return run
@@ -408,7 +406,7 @@ add(
 
 def neighbours(s: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("city").orderBy(ROW_ID)
-    own = messy(s, d).where(F.col(ROW_ID) < 2000).withColumn("other", F.lead("name").over(w)).where("other IS NOT NULL")
+    own = messy(s, d).withColumn("other", F.lead("name").over(w)).where("other IS NOT NULL")
     a, b = folding.fold(F.col("name"), True), folding.fold(F.col("other"), True)
     return public(own.select(ROW_ID, folding.similarity(a, b, 0.5).alias("score"), folding.similarity(a, b, 0.9).alias("strict_score")))
 
