@@ -543,7 +543,7 @@ class Yes(People):
 
 def session(s: SparkSession, d: str) -> Session:
     own = Session(Yes(), gate_seconds=0.2)
-    own.load(from_dataframe(messy(s, d).limit(300), source_name="messy.csv", as_row_id=ROW_ID), GuardConfig(K, 3, AS_OF))
+    own.load(from_dataframe(messy(s, d), source_name="messy.csv", as_row_id=ROW_ID), GuardConfig(K, 3, AS_OF))
     return own
 
 

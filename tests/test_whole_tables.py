@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from shapeguard import queries
+from shapeguard import duck, queries
 from shapeguard.operators import aggregate, issues
 from shapeguard.types import ROW_ID
 
@@ -33,3 +33,17 @@ def test_duplicate_keys_and_small_groups(spark):
     assert sorted(r[ROW_ID] for r in issues.findings(df, ["code"], 5, codes=["duplicateKey"]).collect()) == [6, 7]
     got = {r.group_key: (r.row_count, r.value, r.suppressed) for r in aggregate.aggregate(df, "city", "max", "amount", 3).collect()}
     assert got == {"many": (14, 19.0, False), "some": (4, None, True), None: (2, None, False)}
+
+
+def test_proposal_flow_counts_every_row(spark):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW orders AS SELECT * FROM '/root/testdata/sf0.001/orders.parquet'")
+    changed = con.execute(duck.with_messy(f"SELECT count(*) FROM messy WHERE name <> {duck.trimmed('name')}")).fetchone()[0]
+    got = {r.what: r.result for r in queries.proposal_flow(spark, "/root/testdata/sf0.001").collect()}
+    assert int(got["proposed"]) == int(got["undone"]) == changed > 100 and got["empty"] == "empty"
+
+
+@pytest.mark.parametrize("name", queries.SESSION_ORACLES)
+def test_sessions_answer_alike_over_all_rows(spark, name):
+    got = [(r.what, r.result) for r in queries.QUERIES[name](spark, SF).orderBy("step").collect()]
+    assert got == queries.SESSION_ORACLES[name]
