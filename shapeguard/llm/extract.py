@@ -18,7 +18,8 @@ The wrapper says where the main text of its host stands: its article or main
 element or, without one, the element that holds most of the variable text. What
 stands there is kept but for menus, sidebars, notices, adverts, forms and reader
 comments, told by tag, role and class, and (outside articles) for slots that the
-wrapper shows as fixed.
+wrapper shows as fixed. A class doesn't count against what holds the article or main
+element, against the article itself, or against what holds most of the variable text.
 
 Defined cases: a null or empty html gives an empty text; broken markup is closed
 where it ends; pages whose url has no host share the host ""; repeated rows are
@@ -63,6 +64,9 @@ FURNITURE = set(
     "navigation menu breadcrumb breadcrumbs sidebar aside widget widgets related recommended share sharing social comment comments disqus respond "
     "replies reply footer masthead subscribe newsletter signup login popup modal overlay pagination pager banner topbar toolbar skip byline".split()
 )
+#: Words and tags of elements that are furniture even where they hold most of a host's text.
+ALWAYS = set("ad ads advert adverts advertisement advertising cookie cookies consent gdpr comment comments disqus respond replies reply".split())
+CLOSED = SKIPPED - {"form", "fieldset"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 HEADERS = {"header", "heading"}
 SPACE = re.compile(r"\s+")
@@ -71,7 +75,7 @@ NEVER = {"html", "body", "main"}
 
 
 class Element:
-    __slots__ = ("tag", "key", "skip", "header", "children")
+    __slots__ = ("tag", "key", "hidden", "skip", "header", "children")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.children = tag, []
@@ -79,9 +83,9 @@ class Element:
         names = f"{found.get('class', '')} {found.get('id', '')}".lower()
         parts = {p for p in re.split(r"[^a-z]+", names) if p}
         self.key = " ".join([tag, *sorted(parts)[:6]])
-        hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
+        self.hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
         role = found.get("role", "").lower() in ROLES
-        self.skip = tag in SKIPPED or hidden or (tag not in NEVER and (role or bool(parts & FURNITURE)))
+        self.skip = tag in SKIPPED or self.hidden or (tag not in NEVER and (role or bool(parts & FURNITURE)))
         self.header = tag == "header" or (tag not in NEVER | HEADINGS | {"article"} and "header" in parts)
 
 
@@ -221,21 +225,33 @@ def variable(item: list) -> int:
     return sum(map(variable, item[3]))
 
 
-def reach(item: list, names: tuple[str, ...], skipped: bool = False) -> list[tuple[int, list[str]]]:
-    """Paths to elements of the given tags, with the characters there."""
-    if item[0] == "#text":
-        return []
+def furniture(item: list) -> bool:
     tag, *parts = item[0].split(" ")
-    if tag in SKIPPED or (tag not in NEVER and FURNITURE & set(parts)):
+    return tag in SKIPPED or (tag not in NEVER and bool(FURNITURE & set(parts)))
+
+
+def reach(item: list, names: tuple[str, ...], inside: bool = False, many: bool = False) -> list[tuple[int, list[str], bool, bool]]:
+    """Paths to elements of the given tags, with the characters there, whether they are
+    or stand in furniture, and whether they or what holds them is repeated."""
+    tag = item[0].split(" ")[0]
+    if item[0] == "#text" or tag in RAW | {"head"}:
         return []
+    inside, many = inside or furniture(item), many or bool(item[2])
     if tag in names:
-        return [(variable(item), [item[0]])]
-    return [(n, [item[0], *path]) for child in item[3] for n, path in reach(child, names)]
+        return [(variable(item), [item[0]], inside, many)]
+    return [(n, [item[0], *path], i, m) for child in item[3] for n, path, i, m in reach(child, names, inside, many)]
 
 
-def furniture(item: list) -> bool:
-    tag, *parts = item[0].split(" ")
-    return tag in SKIPPED or (tag not in NEVER and bool(FURNITURE & set(parts)))
+def opened(host: list) -> set[str]:
+    """Kinds of furniture that hold most of the host's variable text, and so are none."""
+    found, at, total = set(), host, variable(host)
+    while at := next((c for c in at[3] if c[0] != "#text" and 2 * variable(c) > total), None):
+        tag, *parts = at[0].split(" ")
+        if furniture(at):
+            if tag in CLOSED or ALWAYS & set(parts):
+                break
+            found.add(at[0])
+    return found
 
 
 def main_path(host: list) -> tuple[list[str], bool]:
@@ -243,25 +259,32 @@ def main_path(host: list) -> tuple[list[str], bool]:
     for names in (("article",), ("main",)):
         found = reach(host, names)
         if found:
-            return max(found, key=lambda f: f[0])[1], True
-    path, at = [host[0]], host
+            total = variable(host)
+            # In furniture only where nothing stands outside of it, or where most of the text is.
+            likely = [f for f in found if not f[2] or (2 * f[0] > total and not f[3])] or found
+            return max(likely, key=lambda f: f[0])[1], True
+    path, at, kept = [host[0]], host, opened(host)
     while True:
-        inner = [c for c in at[3] if c[0] != "#text" and not furniture(c)]
-        total = sum(variable(c) for c in at[3] if not (c[0] != "#text" and furniture(c)))
-        largest = max(inner, key=variable, default=None)
+        own = [c for c in at[3] if c[0] == "#text" or c[0] in kept or not furniture(c)]
+        total = sum(map(variable, own))
+        largest = max((c for c in own if c[0] != "#text"), key=variable, default=None)
         if largest is None or variable(largest) < 0.6 * max(1, total) or largest[0].split(" ")[0] in {"p", *HEADINGS, "li", "td", "pre", "blockquote"}:
             return path, False
         path.append(largest[0])
         at = largest
 
 
-def followed(tree: Element, path: list[str]) -> list[tuple[Element, list]]:
-    """Elements of a page that the path leads to."""
+def followed(tree: Element, path: list[str], furnished: bool = False) -> list[tuple[Element, list]]:
+    """Elements of a page that the path leads to; through furniture, if asked."""
     if tree.key != path[0]:
         return []
     if len(path) == 1:
         return [tree]
-    return [e for c in tree.children if isinstance(c, Element) and not c.skip for e in followed(c, path[1:])]
+    return [e for c in tree.children if isinstance(c, Element) and not (c.hidden if furnished else c.skip) for e in followed(c, path[1:], furnished)]
+
+
+def led(tree: Element, path: list[str]) -> list[Element]:
+    return followed(tree, path) or followed(tree, path, True)
 
 
 def fixed_slots(item: list) -> set[int]:
@@ -271,33 +294,38 @@ def fixed_slots(item: list) -> set[int]:
     return set().union(*map(fixed_slots, item[3])) if item[3] else set()
 
 
-def size(e: Element) -> int:
-    return 0 if e.skip else sum(len(c) if isinstance(c, str) else size(c) for c in e.children)
+def skipped(e: Element, kept: set[str]) -> bool:
+    return e.hidden or (e.skip and e.key not in kept)
+
+
+def size(e: Element, kept: set[str]) -> int:
+    return sum(len(c) if isinstance(c, str) else 0 if skipped(c, kept) else size(c, kept) for c in e.children)
 
 
-def blocks(e: Element, fixed: set[int], only_headings: bool = False) -> Iterator[str]:
+def blocks(e: Element, fixed: set[int], kept: set[str], only_headings: bool = False) -> Iterator[str]:
     for c in e.children:
         if isinstance(c, str):
             text = tidy(c)
             if text and not (only_headings and e.tag not in HEADINGS) and not (fixed and slot(text)[3] in fixed):
                 yield text
-        elif not c.skip:
-            yield from blocks(c, fixed, only_headings or c.header)
+        elif not skipped(c, kept):
+            yield from blocks(c, fixed, kept, only_headings or c.header)
 
 
 def main_text(tree: Element, host: list) -> str:
     """The blocks of a page's main element, by its host's wrapper."""
     path, article = main_path(host)
-    found = followed(tree, path)
+    found = led(tree, path)
     if not found:
         own = wrapper(tree)
         path, article = main_path(own)
-        found, host = followed(tree, path), own
+        found, host = led(tree, path), own
     if not found:
         return ""
+    kept = opened(host)
     if article:
-        found = [max(found, key=size)]
-    return "\n\n".join(b for e in found for b in blocks(e, set() if article else fixed_slots(host)))
+        found = [max(found, key=lambda e: size(e, kept))]
+    return "\n\n".join(b for e in found for b in blocks(e, set() if article else fixed_slots(host), kept))
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -142,3 +142,31 @@ def test_scores_do_not_depend_on_neighbours_or_pieces(spark):
     nothing = toxicity.learn(frame, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert {r.score for r in toxicity.score(frame, nothing).collect()} == {0.0}
     assert toxicity.score(frame.limit(0), model).count() == 0
+
+
+def alone(page):
+    tree = extract.parse(page)
+    return extract.main_text(tree, extract.wrapper(tree))
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        "<div class='layout has-sidebar'><article>{}</article></div>",
+        "<article class='post sponsored'>{}</article><p>Contact</p>",
+        "<form action=/><div><main>{}</main></div></form>",
+        "<main><div class='content no-sidebar'>{}</div></main>",
+        "<div class='content no-sidebar'><div class=text>{}</div></div>",
+        "<form>{}</form>",
+    ],
+)
+def test_furniture_words_do_not_lose_the_main_text(around):
+    prose = "<p>" + "plain words of the story " * 20 + "<p>" + "and another paragraph " * 20
+    page = "<html><body><nav>Menu</nav>" + around.format(prose + "<div class=ad>buy</div>") + "<div class=sidebar>links</div></body></html>"
+    assert alone(page) == "\n\n".join(("plain words of the story " * 20 + "\n\n" + "and another paragraph " * 20).strip().split(" \n\n"))
+
+
+def test_comments_and_teasers_stay_out():
+    prose, said = "<p>" + "story " * 30, "<p>" + "I say so " * 90
+    assert alone(f"<article>{prose}</article><section id=comments><article class=comment>{said}</article><article class=comment>{said}</article></section>") == ("story " * 30).strip()
+    assert alone(f"<div class=text>{prose}</div><div class=comments>{said}</div>") == ("story " * 30).strip()
