@@ -33,6 +33,7 @@ import html as entities
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -71,6 +72,8 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 HEADERS = {"header", "heading"}
 SPACE = re.compile(r"\s+")
 DEEPEST = 150
+#: Different pages on which a text must stand alike to be a host's fixed text.
+ENOUGH = 3
 NEVER = {"html", "body", "main"}
 
 
@@ -155,16 +158,21 @@ def parse(page: str) -> Element:
     return root
 
 
-# --- wrappers: [key, optional, repeated, children] or ["#text", optional, repeated, hash or 0, slots, characters]
+# --- wrappers: [key, optional, repeated, children] or ["#text", optional, repeated, hash or 0, pages, characters]
+# (pages: the least hashes of up to ENOUGH different pages that have the slot, kept while its text is the same on all)
 
 
 def tidy(text: str) -> str:
     return SPACE.sub(" ", text).strip()
 
 
-def slot(text: str) -> list:
+def checksum(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass")) or 1
+
+
+def slot(text: str, page: int) -> list:
     text = tidy(text)
-    return ["#text", 0, 0, zlib.crc32(text.encode("utf-8", "surrogatepass")) or 1, 1, len(text)]
+    return ["#text", 0, 0, checksum(text), [page], len(text)]
 
 
 def grouped(items: list[list]) -> list[list]:
@@ -185,7 +193,8 @@ def grouped(items: list[list]) -> list[list]:
 def joined(a: list, b: list) -> list:
     """Two items of one kind as one."""
     if a[0] == "#text":
-        return ["#text", a[1] | b[1], a[2] | b[2], a[3] if a[3] == b[3] else 0, a[4] + b[4], a[5] + b[5]]
+        same = a[3] if a[3] == b[3] else 0
+        return ["#text", a[1] | b[1], a[2] | b[2], same, sorted({*a[4], *b[4]})[:ENOUGH] if same else [], a[5] + b[5]]
     return [a[0], a[1] | b[1], a[2] | b[2], aligned(a[3], b[3])]
 
 
@@ -213,15 +222,30 @@ def aligned(a: list[list], b: list[list]) -> list[list]:
     return grouped(out)
 
 
-def wrapper(tree: Element) -> list:
-    items = grouped([slot(c) if isinstance(c, str) else wrapper(c) for c in tree.children])
+def texts(tree: Element) -> Iterator[str]:
+    for c in tree.children:
+        if isinstance(c, str):
+            yield tidy(c)
+        else:
+            yield from texts(c)
+
+
+def wrapper(tree: Element, page: int | None = None) -> list:
+    """The wrapper of one page, which is known by all of its texts: copies are one page."""
+    page = checksum("\n".join(texts(tree))) if page is None else page
+    items = grouped([slot(c, page) if isinstance(c, str) else wrapper(c, page) for c in tree.children])
     return [tree.key, 0, 0, items]
 
 
+def constant(item: list) -> bool:
+    """Whether a text slot is the same on enough different pages."""
+    return bool(item[3]) and len(item[4]) >= ENOUGH
+
+
 def variable(item: list) -> int:
     """Characters that an item's variable slots held."""
     if item[0] == "#text":
-        return 0 if item[3] and item[4] > 2 else item[5]
+        return 0 if constant(item) else item[5]
     return sum(map(variable, item[3]))
 
 
@@ -287,11 +311,15 @@ def led(tree: Element, path: list[str]) -> list[Element]:
     return followed(tree, path) or followed(tree, path, True)
 
 
-def fixed_slots(item: list) -> set[int]:
-    """Hashes of texts that stand in fixed slots on three pages or more."""
+def fixed_slots(item: list, path: tuple[str, ...] = ()) -> Counter[tuple[tuple[str, ...], int]]:
+    """Places (kinds from the page down) and hashes of the texts that stand in fixed slots
+    on three different pages or more, with how often they stand there."""
     if item[0] == "#text":
-        return {item[3]} if item[3] and item[4] > 2 and not item[2] else set()
-    return set().union(*map(fixed_slots, item[3])) if item[3] else set()
+        return Counter([(path, item[3])] if constant(item) and not item[2] else [])
+    own: Counter = Counter()
+    for c in item[3]:
+        own.update(fixed_slots(c, (*path, item[0])))
+    return own
 
 
 def skipped(e: Element, kept: set[str]) -> bool:
@@ -302,14 +330,18 @@ def size(e: Element, kept: set[str]) -> int:
     return sum(len(c) if isinstance(c, str) else 0 if skipped(c, kept) else size(c, kept) for c in e.children)
 
 
-def blocks(e: Element, fixed: set[int], kept: set[str], only_headings: bool = False) -> Iterator[str]:
+def blocks(e: Element, fixed: Counter, kept: set[str], path: tuple[str, ...], only_headings: bool = False) -> Iterator[str]:
+    """The texts of an element that stands at a path; each fixed slot takes away one text of its place."""
     for c in e.children:
         if isinstance(c, str):
             text = tidy(c)
-            if text and not (only_headings and e.tag not in HEADINGS) and not (fixed and slot(text)[3] in fixed):
-                yield text
+            if text and not (only_headings and e.tag not in HEADINGS):
+                if fixed and fixed[place := (path, checksum(text))] > 0:
+                    fixed[place] -= 1
+                else:
+                    yield text
         elif not skipped(c, kept):
-            yield from blocks(c, fixed, kept, only_headings or c.header)
+            yield from blocks(c, fixed, kept, (*path, c.key), only_headings or c.header)
 
 
 def main_text(tree: Element, host: list) -> str:
@@ -325,7 +357,9 @@ def main_text(tree: Element, host: list) -> str:
     kept = opened(host)
     if article:
         found = [max(found, key=lambda e: size(e, kept))]
-    return "\n\n".join(b for e in found for b in blocks(e, set() if article else fixed_slots(host), kept))
+    fixed = Counter() if article else fixed_slots(host)
+    left = [b for e in found for b in blocks(e, fixed, kept, tuple(path))]
+    return "\n\n".join(left or [b for e in found for b in blocks(e, Counter(), kept, tuple(path))])
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -170,3 +170,22 @@ def test_comments_and_teasers_stay_out():
     prose, said = "<p>" + "story " * 30, "<p>" + "I say so " * 90
     assert alone(f"<article>{prose}</article><section id=comments><article class=comment>{said}</article><article class=comment>{said}</article></section>") == ("story " * 30).strip()
     assert alone(f"<div class=text>{prose}</div><div class=comments>{said}</div>") == ("story " * 30).strip()
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    one = "<html><body><div class=text><h1>Title</h1><p>Only paragraph of this page</div></body></html>"
+    two = "<html><body><div class=text><h1>Title</h1><p>First paragraph<p>Second paragraph</div></body></html>"
+    rows = [(i, "http://one.example/", one) for i in range(5)] + [(10 + i, "http://two.example/", two) for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in extract.extract(pages).collect()}
+    assert all(got[i] == "Title\n\nOnly paragraph of this page" and got[10 + i] == "Title\n\nFirst paragraph\n\nSecond paragraph" for i in range(5))
+
+
+def test_fixed_text_goes_at_its_own_place_only():
+    page = "<body><div class=text><div class=box>Same words</div><p>{}</p><p>{}</p></div></body>"
+    trees = [extract.parse(page.format(f"Prose number {i} of this host", "Same words" if i == 3 else f"More prose {i}")) for i in range(6)]
+    host = extract.wrapper(trees[0])
+    for t in trees[1:]:
+        host = extract.joined(host, extract.wrapper(t))
+    assert extract.main_text(trees[3], host) == "Prose number 3 of this host\n\nSame words"
+    assert extract.main_text(trees[1], host) == "Prose number 1 of this host\n\nMore prose 1"
