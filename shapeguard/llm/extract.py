@@ -71,7 +71,10 @@ CLOSED = SKIPPED - {"form", "fieldset"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 HEADERS = {"header", "heading"}
 SPACE = re.compile(r"\s+")
+#: Elements of a tree below this depth dissolve: they stay open until their end tag, but
+#: their texts belong to what holds them. Articles, main and skipped elements don't dissolve.
 DEEPEST = 150
+DEEPER = {"article", "main"}
 #: Different pages on which a text must stand alike to be a host's fixed text.
 ENOUGH = 3
 NEVER = {"html", "body", "main"}
@@ -95,7 +98,8 @@ class Element:
 def parse(page: str) -> Element:
     """The page's tree: elements and texts (decoded, white space as found)."""
     root = Element("#page")
-    stack, text, at = [root], [], 0
+    stack, depths, text, at = [root], [0], [], 0
+    opened_tags: Counter = Counter()  # so that no stack is searched for what isn't open
 
     def flush() -> None:
         whole = "".join(text)
@@ -105,7 +109,9 @@ def parse(page: str) -> Element:
 
     def close(upto: int) -> None:
         flush()
-        del stack[upto:]
+        for e in stack[upto:]:
+            opened_tags[e.tag] -= 1
+        del stack[upto:], depths[upto:]
 
     while at < len(page):
         m = MARKUP.search(page, at)
@@ -121,7 +127,7 @@ def parse(page: str) -> Element:
         if m[1]:
             if tag == "br":
                 text.append(" ")
-            elif (i := next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)) and tag not in VOID:
+            elif opened_tags[tag] and (i := next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)) and tag not in VOID:
                 close(i)
             continue
         if tag in RAW:
@@ -138,11 +144,11 @@ def parse(page: str) -> Element:
         own = Element(tag, m[3])
         if tag in INLINE and not own.skip:
             continue
-        if tag not in INLINE and tag not in ("button", "label", "select"):
+        if opened_tags["p"] and tag not in INLINE and tag not in ("button", "label", "select"):
             p = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p" or stack[i].tag in BOUNDS | {"td", "th", "button"}), 0)
             if p and stack[p].tag == "p":
                 close(p)
-        if tag in CLOSES:
+        if tag in CLOSES and any(opened_tags[t] for t in CLOSES[tag]):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in BOUNDS and tag != "body":
                     break
@@ -151,9 +157,14 @@ def parse(page: str) -> Element:
                     if tag not in ("tr",):
                         break
         flush()
-        if len(stack) < DEEPEST:  # deeper elements dissolve, their text stays
+        depth = depths[-1] + 1
+        if depth < DEEPEST or (own.skip and not stack[-1].skip) or (depth < DEEPEST + 8 and tag in DEEPER):
             stack[-1].children.append(own)
-            stack.append(own)
+        else:  # dissolved: its texts go to the element that holds it
+            own.children, own.skip, depth = stack[-1].children, own.skip or stack[-1].skip, depths[-1]
+        stack.append(own)
+        depths.append(depth)
+        opened_tags[tag] += 1
     flush()
     return root
 

@@ -189,3 +189,10 @@ def test_fixed_text_goes_at_its_own_place_only():
         host = extract.joined(host, extract.wrapper(t))
     assert extract.main_text(trees[3], host) == "Prose number 3 of this host\n\nSame words"
     assert extract.main_text(trees[1], host) == "Prose number 1 of this host\n\nMore prose 1"
+
+
+@pytest.mark.parametrize("deep", [100, 200, 5000])
+def test_deep_nesting_closes_its_own_elements(deep):
+    inner = "<div>" * deep + "deep<nav>menu</nav><div class=ad>buy</div>" + "</div>" * deep
+    assert alone(f"<body><div><article><p>before</p>{inner}<p>after</p></article></div><p>Contact</p></body>") == "before\n\ndeep\n\nafter"
+    assert alone("<body><p>Contact</p>" + "<div>" * deep + "<article><p>deep</p></article>" + "</div>" * deep + "<p>end</p></body>") == "deep"
