@@ -42,6 +42,7 @@ class LineRules:
     max_symbols_per_word: float = 0.25
     max_shouted: float = 0.3
     min_separators: int = 2
+    min_separator_share: float = 0.2
     max_boilerplate_words: int = 15
     max_stutter: float = 0.5
     max_lost: float = 0.5
@@ -51,7 +52,7 @@ def line_fault(line: bytes, words: list[bytes], rules: LineRules) -> str | None:
     """The first rule that the line fails, or None."""
     n = len(words)
     symbols = len(line) - len(line.translate(None, SYMBOLS))
-    if symbols and line.count(b" | ") >= rules.min_separators:
+    if symbols and line.count(b" | ") >= max(rules.min_separators, rules.min_separator_share * n):
         return "navigation"
     if symbols > max(1, rules.max_symbols_per_word * n):
         return "punctuation"

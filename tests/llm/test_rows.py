@@ -51,6 +51,14 @@ def test_quality_verdict_drops_junk_and_keeps_prose(spark):
     assert [r.kept for r in quality.assess(rows).orderBy("doc_id").collect()] == [True, False, True]
 
 
+def test_a_long_line_is_not_navigation_for_two_bars(spark):
+    words, others = (" ".join(f"{w}{i}" for i in range(100)) for w in ("word", "other"))
+    rows = spark.createDataFrame([(1, f"{words} | cell | {others}"), (2, f"{words}\nHome | About | Help")], "doc_id long, text string")
+    kept = {r.doc_id: r.text for r in quality.clean(rows).collect()}
+    assert kept == {1: f"{words} | cell | {others}", 2: words}
+    assert [r.kept for r in quality.assess(rows).collect()] == [True, True]
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string, extra int")
     assert quality.assess(none).count() == quality.clean(none).count() == 0
