@@ -11,11 +11,15 @@ parse.
 1. Triggers that occur once in the corpus are dropped: their windows are unique.
 2. Phrases that occur twice or more are repeated whole, and one stands for all.
 3. Of the rest, only phrases that share a trigger can share windows. For them the
-   suffix orders of the two sides are built: of what precedes the trigger (read
-   backwards: suffixes of dictionary phrases) and of what follows (the parse from
-   there on), each with its longest common prefixes. Windows are equal where both
-   sides' classes, at depths that add up to 200, are equal; so the two arrays
-   combine into the order of all windows of the trigger.
+   orders of the two sides are built: of at most 153 bytes before the trigger (read
+   backwards) and of at most 200 bytes from it on, both within the phrase, each with
+   its longest common prefixes. Windows are equal where both sides' classes, at
+   depths that add up to 200, are equal.
+
+These orders of bounded neighbourhoods, one trigger at a time, stand in for the
+suffix array of the parse, which is not built, as is no order of the whole corpus:
+every 200-byte window lies inside one phrase, so the order of phrases in texts
+can't tell more about it.
 
 Texts travel once to cut out the phrases of step 3 and once to be cleaned. All
 counts combine before they are shuffled, occurrences meet the dictionary in plain
