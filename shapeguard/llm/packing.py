@@ -4,11 +4,13 @@ Every document is tokenised, followed by an end id, and cut into full windows
 plus one remainder. Remainders of one task are packed longest first: a segment
 tree over remaining capacities (0 to the window's length) finds the tightest
 window still open. Tasks pack on their own, so nothing is shuffled; each leaves
-a few part-filled windows at most, whatever the number of documents.
+a few part-filled windows at most, whatever the number of documents. A task
+places its pieces in rounds, to hold few at once; windows stay open over rounds.
 
-Defined cases: a null or empty text is its end id alone; repeated rows are
-packed once each; a null doc_id stays null; an empty table gives no pieces;
-further columns are ignored.
+Defined cases: a null or empty text is its end id alone; texts of any length are
+cut into full windows; pieces of equal length are placed in the order of their
+rows; repeated rows are packed once each; a null doc_id stays null; an empty table
+gives no pieces; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import types as T
 from shapeguard.llm.common import small, strings
 
 WINDOW, END_ID = 4096, 2
-#: Pieces that one packing round holds in memory; a further round opens new windows.
+#: Pieces that a task holds until they are placed, longest first.
 ROUND = 500_000
 #: Words of a generation (see ``WordIds``).
 KEPT_WORDS = 250_000
@@ -56,7 +58,8 @@ class WordIds(dict):
     a text are those of its blank-separated parts; each distinct part is encoded
     once and kept. It also lower-cases letter by letter and starts anew between a
     letter or digit and a mark, so capitals and closing marks take their ids from
-    the bare word. Two generations are kept: when the younger is full, it becomes
+    the bare word. Letters from U+0130 on may end in a combining mark once they are
+    composed and lowered, which joins what follows, so they are left to the tokenizer. Two generations are kept: when the younger is full, it becomes
     the older, and words still in use come back from there.
     """
 
@@ -81,7 +84,7 @@ class WordIds(dict):
             low = part.lower() if (part.isascii() or max(part) < "\u0130") and "<|" not in part else part
             if low != part:
                 ids = self[low]
-            elif len(part) > 1 and part[-1] in self.MARKS and part[-2].isalpha():
+            elif len(part) > 1 and part[-1] in self.MARKS and part[-2].isalpha() and part[-2] < "\u0130":
                 ids = self[part[:-1]] + self[part[-1]]
             else:
                 ids = self.encoded(part)
@@ -177,18 +180,24 @@ class Capacities:
         return capacity, self.open[capacity].pop()
 
 
-def best_fit(lengths: list[int], window: int) -> list[tuple[int, int]]:
-    """(window number, offset) for each length, longest first."""
-    tree, placed, opened = Capacities(window), [(0, 0)] * len(lengths), 0
-    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        found = tree.take(lengths[i])
-        if found is None:
-            found, opened = (window, opened), opened + 1
-        capacity, at = found
-        placed[i] = at, window - capacity
-        if capacity > lengths[i]:
-            tree.add(capacity - lengths[i], at)
-    return placed
+class Windows:
+    """Windows by best fit; those with room left stay open."""
+
+    def __init__(self, window: int):
+        self.window, self.tree, self.opened = window, Capacities(window), 0
+
+    def place(self, lengths: list[int]) -> list[tuple[int, int]]:
+        """(window number, offset) for each length, longest first."""
+        placed = [(0, 0)] * len(lengths)
+        for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+            found = self.tree.take(lengths[i])
+            if found is None:
+                found, self.opened = (self.window, self.opened), self.opened + 1
+            capacity, at = found
+            placed[i] = at, self.window - capacity
+            if capacity > lengths[i]:
+                self.tree.add(capacity - lengths[i], at)
+        return placed
 
 
 PIECE = pa.schema([(c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
@@ -196,14 +205,12 @@ PIECE = pa.schema([(c, pa.int64()) for c in ("start", "length", "ids_crc32", "do
 
 def _pack(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     end = end_id.to_bytes(4, "little")
-    next_id = TaskContext.get().partitionId() << 40
+    first_id, windows = TaskContext.get().partitionId() << 40, Windows(window)
     pieces: list[list] = []
 
     def placed() -> pa.RecordBatch:
-        nonlocal next_id
-        where = best_fit([p[2] for p in pieces], window)
-        columns = [list(c) for c in zip(*pieces, strict=True)] + [[next_id + w for w, _ in where], [o for _, o in where]]
-        next_id += 1 + max(w for w, _ in where)
+        where = windows.place([p[2] for p in pieces])
+        columns = [list(c) for c in zip(*pieces, strict=True)] + [[first_id + w for w, _ in where], [o for _, o in where]]
         arrays = [pa.array(columns[0], id_type), *(pa.array(c, pa.int64()) for c in columns[1:])]
         pieces.clear()
         return pa.RecordBatch.from_arrays(arrays, names=["doc_id", *PIECE.names])

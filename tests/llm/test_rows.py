@@ -139,7 +139,14 @@ def test_best_fit_takes_the_tightest_window():
             free.append(min(fits) - n)
         else:
             free.append(100 - n)
-    assert len({w for w, _ in packing.best_fit(lengths, 100)}) == len(free)
+    assert len({w for w, _ in packing.Windows(100).place(lengths)}) == len(free)
+    windows = packing.Windows(100)
+    placed = [p for i in range(0, 500, 50) for p in windows.place(lengths[i : i + 50])]  # ten rounds
+    room: dict[int, int] = {}
+    for (w, offset), n in sorted(zip(placed, lengths)):
+        assert offset == room.get(w, 0)
+        room[w] = offset + n
+    assert max(room.values()) <= 100 and len(room) <= len(free) + 3
 
 
 def test_word_ids_equal_whole_text_ids():
@@ -152,6 +159,15 @@ def test_word_ids_equal_whole_text_ids():
         text = "".join(rng.choices(chars, k=rng.randint(0, 40))) + rng.choice(["", "<|endoftext|> x", "don't"])
         want = b"".join(i.to_bytes(4, "little") for i in plain.encode(text, add_special_tokens=False).ids)
         assert own(text) == want
+    # Every letter of the Basic Multilingual Plane before marks, alone and after another letter.
+    letters = [c for c in map(chr, range(1, 0x10000)) if c.isalpha()]
+    texts = [t for c in letters for t in (c + ";", "a" + c + ". x", c.upper() + ", " + c)]
+    for at in range(0, len(texts), 20_000):
+        part = texts[at : at + 20_000]
+        ids, ends = own.many(part)
+        starts = [0, *ends[:-1].tolist()]
+        wrong = [t for t, e, a, b in zip(part, plain.encode_batch(part, add_special_tokens=False), starts, ends.tolist()) if e.ids != ids[a:b].tolist()]
+        assert not wrong
 
 
 def test_digest(spark):
