@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if found:
         return found.rstrip("/")
-    if not sc.master.startswith("local[") and sc.master != "local":
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="shapeguard-"))
     return sc.getCheckpointDir().rstrip("/")
@@ -39,6 +40,33 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each with underscores behind it until no column has it (in any case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: A key with at least so many rows, and with over a 10,000th of them, is hot: there are fewer than ``MOST_HOT``.
+LEAST_HOT, MOST_HOT = 500, 10_000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` with the further columns of ``table``, which has a row for every ``key``.
+
+    Rows of a hot key would meet in one task. There are at most ``MOST_HOT`` such
+    keys, so their rows of ``table`` are broadcast; all other keys are joined by shuffle.
+    ``total``: the number of rows; both tables are written ones, as both are read twice.
+    """
+    often = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(LEAST_HOT, total // MOST_HOT)).select(key)
+    hot = F.broadcast(table.join(F.broadcast(often), key, "left_semi"))
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(table, key))
+
+
 #: Rows that a task holds as Python objects at once.
 ROWS_AT_ONCE = 512
 

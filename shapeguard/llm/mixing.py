@@ -10,9 +10,13 @@ of (seed, doc_id, copy): one shuffle, whose keys are all different.
 
 Defined cases: a null source is a source of its own; a null doc_id draws as the
 empty string; repeated rows draw alike (equal ids, equal draw) and are each
-copied; weights are rescaled to the sources that occur, sources without a weight
-get 0; an empty table gives an empty result; columns named like the helpers' are
-safe, as helpers live in one struct that is dropped.
+copied; rows that share doc_id and copy number (repeated or null ids) have one
+shuffle key and are dealt by their contents, so only rows equal in every column
+meet in one task; null, empty and long texts are copied like any other; weights
+are rescaled to the sources that occur, sources without a weight get 0; an empty
+table gives an empty result; further columns keep their names and values, and
+helpers take names that none of them has: if there is a column ``mix``, the added
+one is ``mix_``.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shapeguard.llm.common import free
+
 LARGEST_MEAN = 32.0
 #: Beyond this many sources the rates are joined by shuffle.
 BROADCAST_SOURCES = 10_000
@@ -72,13 +78,14 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, size: int
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, size: int | None = None, seed: str = SEED) -> DataFrame:
-    """The mixed corpus in shuffled order: the columns of ``docs`` and ``mix``, a
+    """The mixed corpus in shuffled order: the columns of ``docs`` and last ``mix``, a
     struct of n_copies, copy_no (from 1), rate and shuffle_key."""
-    table = rates(docs, weights, size).select(F.struct("source", "rate", "parts", "sums").alias("__rate"))
-    if len(table.select(F.col("__rate.source")).take(BROADCAST_SOURCES + 1)) <= BROADCAST_SOURCES:
+    added, found, n, number = free(docs.columns, "mix", "rate_of", "n_drawn", "copy_drawn")
+    table = rates(docs, weights, size).select(F.struct("source", "rate", "parts", "sums").alias(found))
+    if len(table.select(F.col(found)["source"]).take(BROADCAST_SOURCES + 1)) <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    source, rate = F.col("source"), F.col("__rate")
-    joined = docs.join(table, source.eqNullSafe(F.col("__rate.source")), "inner")
+    rate = F.col(found)
+    joined = docs.join(table, docs["source"].eqNullSafe(rate["source"]), "inner")
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
 
     def draw(acc: Column, part: Column) -> Column:
@@ -86,14 +93,15 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, size: int |
         return acc + F.size(F.filter(rate["sums"], lambda s: s < u))
 
     copies = F.when(rate["rate"] > 0, F.aggregate(F.sequence(F.lit(1), rate["parts"]), F.lit(0), draw)).otherwise(F.lit(0))
-    drawn = joined.withColumn("__n", copies).where("__n > 0")
-    numbered = drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), doc, F.col("__copy").cast("string")).cast("binary"))
+    drawn = joined.withColumn(n, copies).where(F.col(n) > 0)
+    numbered = drawn.withColumn(number, F.explode(F.sequence(F.lit(1), F.col(n))))
+    key = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), doc, F.col(number).cast("string")).cast("binary"))
     mixed = F.struct(
-        F.col("__n").cast("long").alias("n_copies"), F.col("__copy").cast("long").alias("copy_no"), rate["rate"].alias("rate"), key.alias("shuffle_key")
+        F.col(n).cast("long").alias("n_copies"), F.col(number).cast("long").alias("copy_no"), rate["rate"].alias("rate"), key.alias("shuffle_key")
     )
-    out = numbered.select(*[F.col(f"`{c}`") for c in docs.columns], mixed.alias("mix"))
-    return out.repartition(F.col("mix.shuffle_key")).sortWithinPartitions("mix.shuffle_key")
+    out = numbered.select(*[F.col(f"`{c}`") for c in docs.columns], mixed.alias(added))
+    # Equal rows meet at last, equal keys don't: the text's hash deals rows without an id of their own.
+    return out.repartition(F.col(added)["shuffle_key"], F.xxhash64("text")).sortWithinPartitions(F.col(added)["shuffle_key"])
 
 
 ORACLE = """
@@ -105,11 +113,11 @@ t AS (SELECT source, rate, parts, k, sum(term) OVER (PARTITION BY source ORDER B
         SELECT source, rate, parts, k, CASE WHEN k = 0 THEN exp(-rate / parts)
                ELSE exp(-rate / parts + k * ln(rate / parts) - lgamma(CAST(k + 1 AS DOUBLE))) END AS term
         FROM q, range(0, 150) AS g(k))),
-u AS (SELECT d.doc_id, d.source, d.text, p.part, q.rate, (CAST(('0x' || substr(md5('mix-1|' || d.doc_id || '|' || p.part), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
-      FROM documents d JOIN q USING (source), range(1, 1000) AS p(part) WHERE p.part <= q.parts),
-c AS (SELECT u.doc_id, u.source, u.text, u.rate, count(t.k) AS n_copies
-      FROM u LEFT JOIN t ON u.source = t.source AND t.below < u.u GROUP BY ALL)
+d AS (SELECT row_number() OVER () AS r, coalesce(CAST(doc_id AS VARCHAR), '') AS doc, doc_id, source, text FROM documents),
+p AS (SELECT r, doc, d.source, unnest(range(1, parts + 1)) AS part FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+u AS (SELECT r, source, (CAST(('0x' || substr(md5('mix-1|' || doc || '|' || part), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM p),
+c AS (SELECT r, count(t.k) AS n_copies FROM u JOIN t ON u.source IS NOT DISTINCT FROM t.source AND t.below < u.u GROUP BY r)
 SELECT doc_id, source, CAST(n_copies AS BIGINT) AS n_copies, CAST(copy_no AS BIGINT) AS copy_no,
-       md5('mix-1|order|' || doc_id || '|' || copy_no) AS shuffle_key, sha256(text) AS text_sha256
-FROM c, range(1, 200) AS g(copy_no) WHERE copy_no <= n_copies
+       md5('mix-1|order|' || doc || '|' || copy_no) AS shuffle_key, sha256(text) AS text_sha256
+FROM (SELECT d.*, n_copies, unnest(range(1, n_copies + 1)) AS copy_no FROM c JOIN d USING (r))
 """

@@ -17,7 +17,9 @@ members, however dense a group is.
 Defined cases: null, empty and blank texts have fingerprint zero and are linked
 like any other; texts shorter than a shingle hash their whole word sequence;
 repeated rows are each returned; a row without doc_id takes the least id of its
-component, null if there is none; an empty table gives an empty result.
+component, null if there is none; an empty table gives an empty result; texts of
+any length are taken whole (their shingles' hashes a bounded number at a time); further
+columns are ignored, or kept by ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shapeguard.llm.common import cut, small, utf8
+from shapeguard.llm.common import cut, free, looked_up, small, utf8
 from shapeguard.llm.components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -41,6 +43,8 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 BANDS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 BLOCK = 8192
 LANES = 64
+#: Shingles of a text that are hashed and counted together.
+AT_ONCE = 1 << 16
 
 
 def fingerprint(data: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
@@ -50,11 +54,13 @@ def fingerprint(data: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
         return 0
     ends = np.cumsum([len(w) + 1 for w in words])
     text, n = b" ".join(words), max(1, len(words) - size + 1)
-    starts = [0, *ends[:-1].tolist()][:n]
-    stops = (ends[size - 1 :] - 1).tolist() if len(words) >= size else [len(text)]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(text[a:b], seed) for a, b in zip(starts, stops, strict=True)], dtype="<u8")
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    starts = np.r_[0, ends[:-1]][:n]
+    stops = ends[size - 1 :] - 1 if len(words) >= size else np.array([len(text)])
+    digest, bits = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    for at in range(0, n, AT_ONCE):
+        own = zip(starts[at : at + AT_ONCE].tolist(), stops[at : at + AT_ONCE].tolist(), strict=True)
+        hashes = np.array([digest(text[a:b], seed) for a, b in own], dtype="<u8")
+        bits += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * bits > n, bitorder="little").view("<i8")[0])
 
 
@@ -216,33 +222,38 @@ def links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
 
 
-def classes_of(prints: DataFrame) -> DataFrame:
+def classes_of(classes: DataFrame) -> DataFrame:
     """(fp, label): each fingerprint's component, named by one of its fingerprints."""
-    every = prints.select("fp").distinct()
-    labels = components(links(every))
-    return every.join(labels, every["fp"] == labels["node"], "left").select("fp", F.coalesce("label", "fp").alias("label"))
+    labels = components(links(classes.select("fp")))
+    return classes.join(labels, classes["fp"] == labels["node"], "left").select(*classes.columns, F.coalesce("label", "fp").alias("label"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id: the least doc_id reachable over links."""
     prints = cut(fingerprints(docs), "prints")
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    labelled = cut(least.join(classes_of(prints), "fp"), "classes")
-    roots = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    return prints.join(labelled.join(roots, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "classes")
+    labelled = cut(classes_of(classes), "labelled")
+    roots = cut(labelled.groupBy("label").agg(F.min("least").alias("component_id")), "roots")
+    named = cut(looked_up(labelled.select("fp", "label"), roots, "label", labelled.count()).select("fp", "component_id"), "named")
+    return looked_up(prints, named, "fp", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without near-duplicates: of each component the row with the
     least doc_id (nulls last, then the least hash of its text); same columns."""
-    named = F.xxhash64(F.col("text").cast("string"))
+    text_hash = F.xxhash64(F.col("text").cast("string"))
     # The two columns travel beside the fingerprint as one value, so that it passes through.
-    keyed = docs.select(F.struct("doc_id", named.alias("k")).alias("doc_id"), "text")
+    keyed = docs.select(F.struct("doc_id", text_hash.alias("k")).alias("doc_id"), "text")
     prints = cut(fingerprints(keyed).select("doc_id.doc_id", "doc_id.k", "fp"), "prints")
-    rows = prints.join(classes_of(prints), "fp").groupBy("label", "doc_id", "k").agg(F.count(F.lit(1)).alias("times"))
-    first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k", "times")).alias("r"))
-    kept = cut(first.select(F.col("r.doc_id").alias("__doc_id"), F.col("r.k").alias("__k"), F.col("r.times").alias("__times")), "kept")
-    found = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (named == F.col("__k")), "left_semi")
-    if kept.where("__times > 1").isEmpty():
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")
+    # Of each class the least row and how often it stands there, both combined before the shuffle.
+    rows = prints.groupBy("fp", "doc_id", "k").agg(F.count(F.lit(1)).alias("times"))
+    least = rows.groupBy("fp").agg(F.min(F.struct(order.alias("row"), "times")).alias("r"))
+    classes = cut(least, "classes")
+    first = classes_of(classes).groupBy("label").agg(F.min("r").alias("r"))
+    own_id, own_hash = free(docs.columns, "kept_id", "kept_hash")
+    kept = cut(first.select(F.col("r.row.doc_id").alias(own_id), F.col("r.row.k").alias(own_hash), "r.times"), "kept")
+    found = docs.join(kept.drop("times"), F.col("doc_id").eqNullSafe(F.col(own_id)) & (text_hash == F.col(own_hash)), "left_semi")
+    if kept.where("times > 1").isEmpty():
         return found
-    return found.withColumn("__k", named).dropDuplicates(["doc_id", "__k"]).drop("__k")
+    return found.withColumn(own_hash, text_hash).dropDuplicates(["doc_id", own_hash]).drop(own_hash)

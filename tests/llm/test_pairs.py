@@ -121,7 +121,7 @@ def test_top_k_of_large_components_saturates(spark):
 
 def test_mixing_rates_and_draws(spark):
     rows = [(i, f"text {i}", "big" if i % 3 else "small" if i % 6 else None) for i in range(6000)] + [(1, "again", "big"), (None, None, "big")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("rate", F.lit(1)).withColumn("mix_", F.lit(1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("rate", F.lit(1)).withColumn("parts", F.lit(1))
     out = mixing.mix(docs, {"big": 0.2, "small": 0.6, "other": 0.2}).cache()
     n = Counter(r.source for r in out.collect())
     assert abs(n["big"] - 1500) < 200 and abs(n["small"] - 4500) < 300 and n[None] == 0
@@ -135,6 +135,36 @@ def test_mixing_rates_and_draws(spark):
     assert all(abs(even[s] - 2000) < 200 for s in ("big", "small", None))
 
 
+def test_helpers_make_way_for_columns_of_the_same_name(spark):
+    names = ["mix", "MIX_", "rate_of", "n_drawn", "copy_drawn", "kept_id", "kept_hash", "k", "fp", "label", "times", "n", "row"]
+    rows = [(i, "the same few words in every text here", "s", *range(13)) for i in range(40)] + [(None, None, None, *range(13))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` int" for c in names))
+    mixed = mixing.mix(docs)
+    assert mixed.columns == [*docs.columns, "mix__"]
+    assert {tuple(r)[3:-1] for r in mixed.collect()} == {tuple(range(13))} and mixed.select("mix__.n_copies").count() > 20
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[-1]], key=str)
+
+
+def test_rows_without_ids_are_dealt_by_their_texts(spark):
+    docs = spark.createDataFrame([(None, f"text {i}", "s") for i in range(3000)], "doc_id long, text string, source string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        sizes = [r["n"] for r in mixing.mix(docs).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 4 and max(sizes) < 1500
+
+
+def test_hot_keys_are_looked_up_whole(spark):
+    from shapeguard.llm.common import cut, looked_up
+
+    rows = cut(spark.range(6000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS key"), "rows")
+    table = cut(spark.range(6000).selectExpr("id AS key", "id * 2 AS twice"), "table")
+    got = looked_up(rows, table, "key", 6000)
+    assert sorted((r.id, r.twice) for r in got.collect()) == [(i, 14 if i % 3 == 0 else 2 * i) for i in range(6000)]
+
+
 def test_mixing_with_a_huge_rate(spark):
     docs = spark.createDataFrame([(1, "rare", "r")] + [(i, "x", "c") for i in range(2, 3000)], "doc_id long, text string, source string")
     n = mixing.mix(docs, {"r": 1.0, "c": 1.0}).where("source = 'r'").count()
