@@ -9,11 +9,18 @@ Content-Length and verifies both digests.
 Archives are written by tasks into a folder all executors share, under names of
 their own for each attempt; the manifest, itself a table in the shared folder,
 names only what finished, so lost or repeated tasks leave nothing that is read.
+It says how many records each archive has, and the reader, a task an archive,
+raises where it finds another number.
+
+Payloads are not shuffled to learn what they repeat: the digests that occur twice
+are a table that is broadcast after a check of its size, and beyond that size
+only the rows of such digests meet it by shuffle, the hottest of them apart.
 
 Defined cases: a null html is an empty payload; payloads under ``LEAST`` bytes
-are always responses; rows that repeat the least page_id of a payload are all
-responses; a payload all of whose page_ids are null has no revisits; an empty
-table gives an empty result.
+are always responses; payloads of any length are written whole; rows that repeat
+the least page_id of a payload are all responses; a payload all of whose page_ids
+are null has no revisits; an empty table gives an empty result; further columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,6 +50,10 @@ class DigestError(ValueError):
     pass
 
 
+class ManifestError(ValueError):
+    pass
+
+
 def record_id(page_id: object) -> str:
     return f"<urn:page:{'' if page_id is None else page_id}>"
 
@@ -161,16 +172,26 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
     yield pa.RecordBatch.from_pylist(done, schema)
 
 
-def with_originals(pages: DataFrame) -> DataFrame:
+#: Repeated digests (of some 100 bytes each) that are broadcast; a larger table meets the pages by shuffle.
+BROADCAST_DIGESTS = 200_000
+
+
+def with_originals(pages: DataFrame, most: int = BROADCAST_DIGESTS) -> DataFrame:
     """page_id, url, html, refers_to: whom a page's payload repeats, else null."""
     own = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    digest = F.sha2("html", 256)
-    keyed = own.withColumn("digest", F.when(F.octet_length("html") >= LEAST, digest))
+    keyed = own.withColumn("digest", F.when(F.octet_length("html") >= LEAST, F.sha2("html", 256)))
     # Page ids and digests alone; a payload's rows combine before the shuffle.
     first = keyed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    first = first.where("n > 1").drop("n")
+    repeated = cut(first.where("n > 1"), "repeated")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("first")), F.col("first"))
-    return keyed.join(first, "digest", "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    if repeated.count() <= most:
+        return keyed.join(F.broadcast(repeated), "digest", "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    # The most frequent digests, at most so many, are still broadcast, so no task holds one's pages.
+    often = F.broadcast(repeated.orderBy(F.desc("n"), "digest").limit(most).select("digest", F.col("first").alias("often")))
+    split = keyed.join(often, "digest", "left")
+    rest = split.where("often IS NULL").drop("often").join(repeated.join(often, "digest", "left_anti"), "digest", "left")
+    met = split.where("often IS NOT NULL").withColumnRenamed("often", "first").unionByName(rest.drop("n"))
+    return met.select("page_id", "url", "html", refers.alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
@@ -189,22 +210,26 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str, columns: list[str]) ->
     store, root = filesystem(folder)
     schema = pa.schema([RECORD.field(c) for c in columns])
     for batch in batches:
-        for name in batch.column(0).to_pylist():
+        for name, records in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             with store.open_input_stream(f"{root}/{name}", compression=None) as stream:
-                rows, held = [], 0
+                rows, held, found = [], 0, 0
                 for record in read(stream):
                     rows.append({c: record[c] for c in columns})
-                    held += len(record["payload"] or b"")
+                    found, held = found + 1, held + len(record["payload"] or b"")
                     if len(rows) >= READ_ROWS or held >= READ_BYTES:
                         yield pa.RecordBatch.from_pylist(rows, schema)
                         rows, held = [], 0
+                if found != records:
+                    raise ManifestError(f"{name} has {found} records, the manifest says {records}")
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
 
 def read_archives(manifest: DataFrame, folder: str, columns: list[str] | None = None) -> DataFrame:
-    """The records of the archives that a manifest names, one archive a task at a time."""
+    """The records of the archives that a manifest names, a task an archive."""
     columns = columns or RECORD.names
-    spread = manifest.select("archive").repartition("archive")
+    own = manifest.select("archive", "records")
+    # A given number of partitions, as small rows would be merged into one task by their bytes.
+    spread = own.repartitionByRange(max(1, own.count()), "archive")
     kinds = dict(x.split() for x in RECORD_SQL.split(", "))
     return spread.mapInArrow(partial(_read, folder=folder, columns=columns), ", ".join(f"{c} {kinds[c]}" for c in columns))
 

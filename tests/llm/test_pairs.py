@@ -187,6 +187,35 @@ def test_archives(spark):
     assert sorted((str(r.page_id), r.refers_to) for r in back if r.record_type == "revisit") == [("4", "3"), ("4", "3"), ("None", "3")]
 
 
+@pytest.mark.parametrize("most", [200_000, 2])
+def test_repeated_payloads_by_either_join(spark, most):
+    rng = random.Random(6)
+    rows = [(i if i % 9 else None, "u", f"payload {rng.choice([0, 0, 0, 1, 2, 3, 4, i])} " * 30) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = Counter((r.page_id, r.html, r.refers_to) for r in warc.with_originals(pages, most).collect())
+    least = {h: min((i for i, _, g in rows if g == h and i is not None), default=None) for _, _, h in rows}
+    want = Counter((i, h, least[h] if (i is None or i > least[h]) and sum(g == h for _, _, g in rows) > 1 and least[h] is not None else None) for i, _, h in rows)
+    assert got == want
+
+
+def test_archives_are_read_in_parallel_and_counted(spark):
+    folder = warc.fresh_path(spark, "test")
+    pages = spark.createDataFrame([(i, "u", f"page {i}" * 40) for i in range(300)], "page_id long, url string, html string").repartition(6)
+    manifest = warc.write(pages, folder)
+    assert manifest.count() == 6
+    back = warc.read_archives(manifest, folder)
+    assert back.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).where("n > 0").count() == 6
+    store, root = warc.filesystem(folder)
+    name = manifest.first()["archive"]
+    with store.open_input_stream(f"{root}/{name}", compression=None) as stream:
+        data = stream.read()
+    last = [m.start() for m in re.finditer(rb"\x1f\x8b\x08", data)][-1]
+    with store.open_output_stream(f"{root}/{name}", compression=None) as stream:
+        stream.write(data[:last])  # the archive now ends before its last member
+    with pytest.raises(Exception, match="ManifestError"):
+        back.collect()
+
+
 def test_reader_verifies():
     good = warc.member(1, "http://a", b"payload" * 50)
     assert gzip.decompress(good).startswith(b"WARC/1.1\r\n")
