@@ -14,9 +14,13 @@ threshold for each language, an extra column that no score depends on, is where
 that language's weighted F1 is best.
 
 Defined cases: a null or empty text gets the score of a text without any feature;
-repeated rows score alike; without labels of both classes every score is 0; a
-language too rare to calibrate, unknown or null has the threshold 0.5; an empty
-table gives an empty result.
+texts of any length are scored whole, long ones piece by piece with every window that
+the whole text has; repeated rows score alike; a row without doc_id is scored, not held
+out and never learnt from; a doc_id with several labels counts as toxic if one of them
+is; of rows that share a labelled doc_id the least is learnt from; without labels of both
+classes every score is 0; a language too rare to calibrate, unknown or null has the
+threshold 0.5; an empty table gives an empty result; further columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -72,7 +76,7 @@ class Model:
 
 
 def held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def buckets(word: str, n: int) -> tuple[int, int, int]:
@@ -105,55 +109,59 @@ class Net:
     def parameters(self) -> list[np.ndarray]:
         return [self.table, *self.kernels, *self.bias, self.out, self.out_bias]
 
-    def pooled(self, ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        """Features, where each was found, and the padded embeddings."""
-        most = max(self.cfg.widths)
-        e = np.zeros((len(ids) + most - 1, self.cfg.dimensions), np.float32)
-        if len(ids):
-            e[: len(ids)] = self.table[ids].sum(axis=1)
-        features, at = [], []
-        for w, kernel, bias in zip(self.cfg.widths, self.kernels, self.bias, strict=True):
-            if not len(ids):
-                features.append(np.zeros(self.cfg.filters, np.float32))
-                at.append(np.zeros(self.cfg.filters, np.int64))
-                continue
-            c = sum(e[j : j + len(ids)] @ kernel[j] for j in range(w)) + bias
-            where = c.argmax(axis=0)
-            at.append(where)
-            features.append(np.maximum(c[where, np.arange(c.shape[1])], 0))
-        return np.concatenate(features), at, e
+    def pooled(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Features of each text, the row at which each was found, the bucket triples (-1: padding)
+        and their embeddings, all texts one after the other."""
+        most, d = max(self.cfg.widths), self.cfg.dimensions
+        sizes = np.array([len(t) for t in texts])
+        starts = np.r_[0, np.cumsum(sizes + most - 1)]
+        ids = np.full((starts[-1] + most, 3), -1, np.int64)
+        inside = np.repeat(starts[:-1] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
+        ids[inside] = np.concatenate([t for t in texts if len(t)]) if len(inside) else ids[:0]
+        e = np.zeros((len(ids), d), np.float32)
+        e[inside] = self.table[ids[inside]].sum(axis=1)
+        full = np.flatnonzero(sizes)
+        shape = (len(texts), self.cfg.filters * len(self.cfg.widths))
+        features, at = np.zeros(shape, np.float32), np.zeros(shape, np.int64)
+        if len(full):
+            cuts = np.stack([starts[full], starts[full] + sizes[full]], axis=1).ravel()
+            segment, place = np.repeat(np.arange(len(full)), sizes[full]), np.arange(len(ids))[:, None]
+            for b, (w, kernel, bias) in enumerate(zip(self.cfg.widths, self.kernels, self.bias, strict=True)):
+                own = slice(b * self.cfg.filters, (b + 1) * self.cfg.filters)
+                n = len(ids) - w + 1
+                c = sum(e[j : j + n] @ kernel[j] for j in range(w)) + bias
+                top = np.maximum.reduceat(c, cuts, axis=0)[::2]
+                first = np.full(c.shape, len(ids), np.int64)
+                first[inside] = np.where(c[inside] == top[segment], place[inside], len(ids))
+                at[full, own] = np.minimum.reduceat(first, cuts, axis=0)[::2]
+                features[full, own] = np.maximum(top, 0)
+        return features, at, ids, e
 
     def step(self, texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> None:
-        grads = [np.zeros_like(p) for p in self.parameters()[1:]]
-        n = len(self.cfg.widths)
-        rows, row_grads = [], []
-        for ids, target, w in zip(texts, y, weight, strict=True):
-            features, at, e = self.pooled(ids)
-            z = float(features @ self.out + self.out_bias[0])
-            d = np.float32(w * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / len(texts))
-            grads[-2] += d * features
-            grads[-1] += d
-            if not len(ids):
-                continue
-            back = d * self.out * (features > 0)
-            for b, width in enumerate(self.cfg.widths):
-                g = back[b * self.cfg.filters : (b + 1) * self.cfg.filters]
-                grads[n + b] += g
-                for j in range(width):
-                    found = e[at[b] + j]
-                    grads[b][j] += found.T * g
-                    inside = np.flatnonzero((at[b] + j < len(ids)) & (g != 0))
-                    if len(inside):
-                        rows.append(ids[at[b][inside] + j])
-                        row_grads.append((self.kernels[b][j][:, inside] * g[inside]).T)
+        features, at, ids, e = self.pooled(texts)
+        z = features @ self.out + self.out_bias[0]
+        d = (weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(texts)).astype(np.float32)
+        back = d[:, None] * self.out * (features > 0)
+        grads = [np.zeros_like(k) for k in self.kernels] + [np.zeros_like(b) for b in self.bias] + [d @ features, d.sum(keepdims=True)]
+        n, rows, row_grads = len(self.cfg.widths), [], []
+        for b, width in enumerate(self.cfg.widths):
+            own = slice(b * self.cfg.filters, (b + 1) * self.cfg.filters)
+            g = back[:, own]
+            grads[n + b] += g.sum(axis=0)
+            for j in range(width):
+                where = at[:, own] + j
+                grads[b][j] += np.einsum("tfd,tf->df", e[where], g)
+                used = (g != 0) & (ids[where, 0] >= 0)
+                rows.append(ids[where[used]])
+                row_grads.append((self.kernels[b][j].T[np.nonzero(used)[1]]) * g[used][:, None])
         for p, g in zip(self.parameters()[1:], grads, strict=True):
             self.move(p, slice(None), g + self.cfg.decay * p)
-        if rows:
-            each = np.concatenate(rows)
+        each = np.concatenate(rows)
+        if len(each):
             g = np.repeat(np.concatenate(row_grads), each.shape[1], axis=0)
-            unique, back = np.unique(each.ravel(), return_inverse=True)
-            total = np.zeros((len(unique), self.cfg.dimensions), np.float32)
-            np.add.at(total, back, g)
+            unique, inverse = np.unique(each.ravel(), return_inverse=True)
+            order = np.argsort(inverse, kind="stable")
+            total = np.add.reduceat(g[order], np.searchsorted(inverse[order], np.arange(len(unique))), axis=0)
             self.move(self.table, unique, total + self.cfg.decay * self.table[unique])
 
     def move(self, p: np.ndarray, where, g: np.ndarray) -> None:
@@ -161,8 +169,9 @@ class Net:
         seen[where] += g * g
         p[where] -= self.cfg.rate * g / (np.sqrt(seen[where]) + 1e-6)
 
-    def logit(self, ids: np.ndarray) -> float:
-        return float(self.pooled(ids)[0] @ self.out + self.out_bias[0])
+    def logits(self, texts: list[np.ndarray]) -> np.ndarray:
+        found = [self.pooled(texts[i : i + self.cfg.batch])[0] for i in range(0, len(texts), self.cfg.batch)]
+        return (np.concatenate(found) @ self.out + self.out_bias[0]).astype(float)
 
 
 def log_odds(texts: list[np.ndarray], y: np.ndarray, cfg: Training) -> np.ndarray:
@@ -218,7 +227,7 @@ def train(texts: list[np.ndarray], y: np.ndarray, langs: list[str | None], ranks
             own = order[at : at + cfg.batch]
             net.step([texts[i] for i in own], y[own], np.ones(len(own)))
     kept = np.flatnonzero(aside)
-    z = np.array([net.logit(texts[i]) for i in kept])
+    z = net.logits([texts[i] for i in kept])
     scale, shift = platt(z, y[kept], weight[kept])
     score = 1 / (1 + np.exp(-np.clip(scale * z + shift, -30, 30)))
     # Even odds where F1 is best, so 0.5 is the one threshold without a language.
@@ -245,20 +254,22 @@ def _features(batches: Iterator[pa.RecordBatch], cfg: Training) -> Iterator[pa.R
 
 def learn(docs: DataFrame, labels: DataFrame, cfg: Training = Training()) -> Model:
     """Train on a sample of labelled rows that aren't held out."""
-    open_rows = labels.where(~held_out() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    counted = {r["toxic"]: r["n"] for r in open_rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    ranked = open_rows.withColumn("rank", F.xxhash64("doc_id"))
-    sample = [ranked.where(F.col("toxic") == y).orderBy("rank").limit(n) for y, n in ((1, cfg.positives), (0, cfg.negatives))]
-    bounded = F.broadcast(sample[0].union(sample[1]).dropDuplicates(["doc_id"]))  # positives + negatives rows at most
+    told = labels.where(~held_out() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    ranked = told.where("doc_id IS NOT NULL").withColumn("rank", F.xxhash64("doc_id"))
+    counted = {r["toxic"]: r["n"] for r in ranked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sample = [ranked.where(F.col("toxic") == y).orderBy("rank", "doc_id").limit(n) for y, n in ((1, cfg.positives), (0, cfg.negatives))]
+    bounded = F.broadcast(sample[0].union(sample[1]))  # positives + negatives rows at most
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"), lang.cast("string").alias("lang"))
     texts = own.join(bounded, "doc_id").select("text", "toxic", "lang", "rank")
     rows = texts.mapInArrow(partial(_features, cfg=cfg), "ids binary, toxic int, lang string, rank long").where("ids IS NOT NULL")
-    rows = sorted(rows.limit(3 * (cfg.positives + cfg.negatives)).collect(), key=lambda r: (r["rank"], r["toxic"], bytes(r["ids"])))
-    ids = [np.frombuffer(bytes(r["ids"]), "<u2").reshape(-1, 1 + len(STEMS)).astype(np.int64) for r in rows]
-    y = np.array([r["toxic"] for r in rows], np.float32)
-    ranks = np.array([r["rank"] % 1000003 for r in rows], np.int64)
-    return train(ids, y, [r["lang"] for r in rows], ranks, (counted.get(0, 0), counted.get(1, 0)), cfg)
+    # A row for each sampled doc_id, however often it occurs: positives + negatives rows at most.
+    single = rows.groupBy("rank", "toxic").agg(F.min(F.struct("ids", "lang")).alias("r")).select("rank", "toxic", "r.ids", "r.lang")
+    found = sorted(single.collect(), key=lambda r: (r["rank"], r["toxic"]))
+    ids = [np.frombuffer(bytes(r["ids"]), "<u2").reshape(-1, 1 + len(STEMS)).astype(np.int64) for r in found]
+    y = np.array([r["toxic"] for r in found], np.float32)
+    ranks = np.array([r["rank"] % 1000003 for r in found], np.int64)
+    return train(ids, y, [r["lang"] for r in found], ranks, (counted.get(0, 0), counted.get(1, 0)), cfg)
 
 
 class Scorer:
@@ -302,23 +313,24 @@ class Scorer:
         return np.concatenate(out, axis=1)
 
     def long_text(self, own: list[str]) -> np.ndarray:
-        """Features of one text of any length: the maximum over overlapping pieces."""
-        overlap = max(k.shape[0] for k in self.model.kernels) - 1
-        found = []
-        for s in range(0, len(own), self.CHUNK // 2):
-            found.append(self.features([own[s : s + self.CHUNK // 2 + overlap]])[0])
+        """Features of one text of any length: the maximum over its pieces, each followed by
+        the words that follow it in the text, so that every window is seen whole and once."""
+        step, more = self.CHUNK // 2, max(k.shape[0] for k in self.model.kernels) - 1
+        found = [self.features([own[s : s + step]], [own[s + step : s + step + more]])[0] for s in range(0, len(own), step)]
         return np.maximum.reduce(found)
 
-    def features(self, texts: list[list[str]]) -> np.ndarray:
-        pad = [0] * (max(k.shape[0] for k in self.model.kernels) - 1)
-        if len(self.known) + sum(map(len, texts)) > self.KEPT and len(self.known) + len(set().union(*texts)) > self.KEPT:
+    def features(self, texts: list[list[str]], after: list[list[str]] | None = None) -> np.ndarray:
+        """Features of texts; ``after`` are words that windows may reach into but not begin at."""
+        room = max(k.shape[0] for k in self.model.kernels) - 1
+        after = after or [[]] * len(texts)
+        if len(self.known) + sum(map(len, texts)) + room > self.KEPT and len(self.known) + len(set().union(*texts, *after)) > self.KEPT:
             self.known.clear()
         ids, starts, ends = [], [], []
-        for own in texts:
+        for own, tail in zip(texts, after, strict=True):
             starts.append(len(ids))
             ids += self.ids(own)
             ends.append(len(ids))
-            ids += pad
+            ids += self.ids(tail) + [0] * (room - len(tail))
         ids.append(0)
         return self.pooled(np.array(ids), np.array(starts, np.int64), np.array(ends, np.int64))
 

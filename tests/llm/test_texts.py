@@ -137,13 +137,46 @@ def test_scores_do_not_depend_on_neighbours_or_pieces(spark):
     scorer = toxicity.Scorer(model)
     alone = {t: float(scorer.scores([t or ""])[0]) for _, t in docs}
     assert all(abs(r.score - alone[dict(docs)[r.doc_id]]) < 1e-6 for r in got)
-    scorer.CHUNK = 40
-    assert abs(scorer.scores(["word " * 300])[0] - alone["word " * 300]) < 1e-6
+    words = [f"w{i}" for i in range(300)] + ["a", "stupid", "idiot", "clown", "x"] + [f"w{i}" for i in range(40)]
+    whole = scorer.features([words])[0]
+    for chunk in range(2, 60):  # every text boundary falls at every place of a window
+        scorer.CHUNK = chunk
+        assert np.abs(scorer.long_text(words) - whole).max() < 1e-5
+        assert abs(scorer.scores(["word " * 300])[0] - alone["word " * 300]) < 1e-6
     nothing = toxicity.learn(frame, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert {r.score for r in toxicity.score(frame, nothing).collect()} == {0.0}
     assert toxicity.score(frame.limit(0), model).count() == 0
 
 
+def test_training_and_scoring_see_the_same_features(spark):
+    rng = random.Random(9)
+    texts = [[rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(rng.choice([0, 1, 2, 3, 50]))] for _ in range(60)]
+    cfg = toxicity.Training(buckets=1 << 10)
+    net = toxicity.Net(cfg, np.random.default_rng(0).normal(0, 1, cfg.buckets).astype(np.float32))
+    ids = [np.array([toxicity.buckets(w, cfg.buckets) for w in t], np.int64).reshape(-1, 3) for t in texts]
+    model = toxicity.Model(net.table, net.kernels, net.bias, net.out)
+    features, at, _, _ = net.pooled(ids)
+    assert np.abs(features - toxicity.Scorer(model).features(texts)).max() < 1e-4
+    before = features @ net.out
+    y = np.array([i % 2 for i in range(60)], np.float32)
+    loss = lambda: float(np.log1p(np.exp(-(2 * y - 1) * net.logits(ids))).mean())
+    first = loss()
+    table, kernels = net.table.copy(), [k.copy() for k in net.kernels]
+    for _ in range(30):
+        net.step(ids, y, np.ones(60))
+    assert loss() < first and (net.table != table).any() and all((a != b).any() for a, b in zip(net.kernels, kernels)) and len(before) == 60
+
+
+def test_labels_and_rows_that_repeat(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 2} text") for i in range(40)] * 3 + [(None, "word1")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(0, 1), (None, 1), (2, None)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    got = toxicity.score(docs, model).collect()
+    again = toxicity.score(docs, toxicity.learn(docs.repartition(5), labels.repartition(2))).collect()
+    assert len(got) == 121 and {r.held_out for r in got if r.doc_id is None} == {False}
+    assert {(r.doc_id, r.score) for r in got} == {(r.doc_id, r.score) for r in again}
+
+
 def alone(page):
     tree = extract.parse(page)
     return extract.main_text(tree, extract.wrapper(tree))
