@@ -84,12 +84,22 @@ def buckets(word: str, n: int) -> tuple[int, int, int]:
     return (whole, *stems)
 
 
+def keys_of(ids: np.ndarray) -> np.ndarray:
+    """Bucket triples (under 2**16 each) as one number a word."""
+    ids = ids.astype(np.int64)
+    return ids[:, 0] << 32 | ids[:, 1] << 16 | ids[:, 2]
+
+
+def triples(keys: np.ndarray) -> np.ndarray:
+    return np.stack([keys >> 32 & 0xFFFF, keys >> 16 & 0xFFFF, keys & 0xFFFF], axis=-1)
+
+
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
 class Net:
-    """Forward and backward passes over texts given as arrays of bucket triples."""
+    """Forward and backward passes over texts given as arrays of word keys."""
 
     def __init__(self, cfg: Training, odds: np.ndarray):
         rng = np.random.default_rng(cfg.seed)
@@ -109,36 +119,44 @@ class Net:
     def parameters(self) -> list[np.ndarray]:
         return [self.table, *self.kernels, *self.bias, self.out, self.out_bias]
 
-    def pooled(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Features of each text, the row at which each was found, the bucket triples (-1: padding)
-        and their embeddings, all texts one after the other."""
-        most, d = max(self.cfg.widths), self.cfg.dimensions
+    def pooled(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Features of each text, the place at which each was found, and the word keys of all
+        texts one after the other, each with padding (-1). What a word adds to the filters is
+        worked out once for each different word."""
+        room, filters = max(self.cfg.widths) - 1, self.cfg.filters
+        padding = np.full(room, -1, np.int64)
+        keys = np.concatenate([x for t in texts for x in (t, padding)] + [padding])
         sizes = np.array([len(t) for t in texts])
-        starts = np.r_[0, np.cumsum(sizes + most - 1)]
-        ids = np.full((starts[-1] + most, 3), -1, np.int64)
-        inside = np.repeat(starts[:-1] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
-        ids[inside] = np.concatenate([t for t in texts if len(t)]) if len(inside) else ids[:0]
-        e = np.zeros((len(ids), d), np.float32)
-        e[inside] = self.table[ids[inside]].sum(axis=1)
+        starts = np.r_[0, np.cumsum(sizes + room)]
+        unique, word = np.unique(keys, return_inverse=True)
+        own = self.embedded(np.maximum(unique, 0))
+        own[unique < 0] = 0
         full = np.flatnonzero(sizes)
-        shape = (len(texts), self.cfg.filters * len(self.cfg.widths))
+        shape = (len(texts), filters * len(self.cfg.widths))
         features, at = np.zeros(shape, np.float32), np.zeros(shape, np.int64)
         if len(full):
             cuts = np.stack([starts[full], starts[full] + sizes[full]], axis=1).ravel()
-            segment, place = np.repeat(np.arange(len(full)), sizes[full]), np.arange(len(ids))[:, None]
-            for b, (w, kernel, bias) in enumerate(zip(self.cfg.widths, self.kernels, self.bias, strict=True)):
-                own = slice(b * self.cfg.filters, (b + 1) * self.cfg.filters)
-                n = len(ids) - w + 1
-                c = sum(e[j : j + n] @ kernel[j] for j in range(w)) + bias
+            lengths = np.diff(np.r_[starts[full], len(keys) - room])
+            n = int(starts[-1])
+            place = np.arange(n, dtype=np.int32)[:, None]
+            for b, (width, kernel, bias) in enumerate(zip(self.cfg.widths, self.kernels, self.bias, strict=True)):
+                columns = slice(b * filters, (b + 1) * filters)
+                parts = [own @ kernel[j] for j in range(width)]
+                c = parts[0][word[:n]]
+                for j in range(1, width):
+                    c += parts[j][word[j : n + j]]
                 top = np.maximum.reduceat(c, cuts, axis=0)[::2]
-                first = np.full(c.shape, len(ids), np.int64)
-                first[inside] = np.where(c[inside] == top[segment], place[inside], len(ids))
-                at[full, own] = np.minimum.reduceat(first, cuts, axis=0)[::2]
-                features[full, own] = np.maximum(top, 0)
-        return features, at, ids, e
+                lead = np.zeros((int(starts[full[0]]), filters), np.float32)
+                first = np.where(c == np.concatenate([lead, np.repeat(top, lengths, axis=0)]), place, n)
+                at[full, columns] = np.minimum.reduceat(first, cuts, axis=0)[::2]
+                features[full, columns] = np.maximum(top + bias, 0)
+        return features, at, keys
+
+    def embedded(self, keys: np.ndarray) -> np.ndarray:
+        return self.table[triples(keys)].sum(axis=-2)
 
     def step(self, texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> None:
-        features, at, ids, e = self.pooled(texts)
+        features, at, keys = self.pooled(texts)
         z = features @ self.out + self.out_bias[0]
         d = (weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(texts)).astype(np.float32)
         back = d[:, None] * self.out * (features > 0)
@@ -149,11 +167,13 @@ class Net:
             g = back[:, own]
             grads[n + b] += g.sum(axis=0)
             for j in range(width):
-                where = at[:, own] + j
-                grads[b][j] += np.einsum("tfd,tf->df", e[where], g)
-                used = (g != 0) & (ids[where, 0] >= 0)
-                rows.append(ids[where[used]])
-                row_grads.append((self.kernels[b][j].T[np.nonzero(used)[1]]) * g[used][:, None])
+                found = keys[at[:, own] + j]
+                used = (g != 0) & (found >= 0)
+                filter_ = np.nonzero(used)[1]
+                own_g = g[used][:, None]
+                np.add.at(grads[b][j].T, filter_, self.embedded(found[used]) * own_g)
+                rows.append(triples(found[used]))
+                row_grads.append(self.kernels[b][j].T[filter_] * own_g)
         for p, g in zip(self.parameters()[1:], grads, strict=True):
             self.move(p, slice(None), g + self.cfg.decay * p)
         each = np.concatenate(rows)
@@ -178,7 +198,7 @@ def log_odds(texts: list[np.ndarray], y: np.ndarray, cfg: Training) -> np.ndarra
     """A third of each bucket's smoothed log-odds by texts (a word sums three buckets)."""
     count = np.zeros((2, cfg.buckets))
     for ids, label in zip(texts, y, strict=True):
-        count[int(label), np.unique(ids)] += 1
+        count[int(label), np.unique(triples(np.unique(ids)))] += 1
     n = np.maximum(1, np.bincount(y.astype(int), minlength=2))
     rate = (count + 0.5) / (n[:, None] + 1)
     trust = count.sum(axis=0) / (count.sum(axis=0) + 2)
@@ -266,7 +286,7 @@ def learn(docs: DataFrame, labels: DataFrame, cfg: Training = Training()) -> Mod
     # A row for each sampled doc_id, however often it occurs: positives + negatives rows at most.
     single = rows.groupBy("rank", "toxic").agg(F.min(F.struct("ids", "lang")).alias("r")).select("rank", "toxic", "r.ids", "r.lang")
     found = sorted(single.collect(), key=lambda r: (r["rank"], r["toxic"]))
-    ids = [np.frombuffer(bytes(r["ids"]), "<u2").reshape(-1, 1 + len(STEMS)).astype(np.int64) for r in found]
+    ids = [keys_of(np.frombuffer(bytes(r["ids"]), "<u2").reshape(-1, 1 + len(STEMS))) for r in found]
     y = np.array([r["toxic"] for r in found], np.float32)
     ranks = np.array([r["rank"] % 1000003 for r in found], np.int64)
     return train(ids, y, [r["lang"] for r in found], ranks, (counted.get(0, 0), counted.get(1, 0)), cfg)

@@ -153,9 +153,9 @@ def test_training_and_scoring_see_the_same_features(spark):
     texts = [[rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(rng.choice([0, 1, 2, 3, 50]))] for _ in range(60)]
     cfg = toxicity.Training(buckets=1 << 10)
     net = toxicity.Net(cfg, np.random.default_rng(0).normal(0, 1, cfg.buckets).astype(np.float32))
-    ids = [np.array([toxicity.buckets(w, cfg.buckets) for w in t], np.int64).reshape(-1, 3) for t in texts]
+    ids = [toxicity.keys_of(np.array([toxicity.buckets(w, cfg.buckets) for w in t], np.int64).reshape(-1, 3)) for t in texts]
     model = toxicity.Model(net.table, net.kernels, net.bias, net.out)
-    features, at, _, _ = net.pooled(ids)
+    features, at, _ = net.pooled(ids)
     assert np.abs(features - toxicity.Scorer(model).features(texts)).max() < 1e-4
     before = features @ net.out
     y = np.array([i % 2 for i in range(60)], np.float32)
