@@ -174,7 +174,7 @@ l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscrip
 m AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w, length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS s,
         row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS again FROM l),
 f AS (SELECT doc_id, again, list_sum(list_transform(w, lambda x: strlen(x))) AS size,
-        (s > 0 AND (length(line) - length(replace(line, ' | ', ''))) / 3 >= 2) OR s > greatest(1, 0.25 * len(w))
+        (s > 0 AND (length(line) - length(replace(line, ' | ', ''))) / 3 >= greatest(2, 0.2 * len(w))) OR s > greatest(1, 0.25 * len(w))
         OR (length(line) - length(replace(line, '!!', ''))) / 2 > 0.3 * len(w)
         OR (len(w) <= 15 AND regexp_matches(line, '(?i)\b(?:cookies?|subscribe|newsletter|sign (?:in|up)|log ?in|click here|read more|share this|javascript|privacy policy|terms of (?:use|service)|all rights reserved|back to top|skip to)\b'))
         OR NOT regexp_matches(line, '[A-Za-z]|[^\x00-\x7F]')
