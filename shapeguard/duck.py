@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shapeguard.functions.formats import GROUPED, GROUPED_AT_MOST, MONTHS, ORDER, PATTERNS, PLACEHOLDERS, SIGNS, whole
+from shapeguard.functions.formats import MONTHS, ORDER, PATTERNS, PLACEHOLDERS, SIGNS, whole
 from shapeguard.functions.mask import accents
 from shapeguard.functions.text import EDGES, WS
 from shapeguard.sources.fixture import MESSY_SQL
@@ -36,8 +36,7 @@ def matches(x: str, name: str) -> str:
     if name in SIGNS:
         has, lacks = SIGNS[name]
         return "(" + " AND ".join([hit(x, p) for p in has] + [f"NOT {hit(x, p)}" for p in lacks]) + ")"
-    own = hit(x, whole(PATTERNS[name]))
-    return f"(length({x}) <= {GROUPED_AT_MOST} AND {own})" if name in GROUPED else f"({own})"
+    return f"({hit(x, whole(PATTERNS[name]).replace(')++', ')+'))})"  # possessive loops are a matter of Java's stack only
 
 
 def classify(x: str) -> str:

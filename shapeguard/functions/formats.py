@@ -1,9 +1,10 @@
 """The 25 named formats of a cell: 24 recognisers in order, and ``unrecognised``.
 
 A recogniser is a condition on one string column, so classifying is one CASE
-expression inside whole-stage codegen. Patterns use single character classes and
-"no bad word" forms only: nested groups under a loop overflow Java's regex stack
-on long texts and end the JVM.
+expression inside whole-stage codegen; what names a value many times binds it by
+``text.let``, which is evaluated outside of it. Loops over groups are possessive:
+others recurse in Java and overflow its stack on long cells. A pattern is only tried
+where a cheap test that every match passes holds.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from shapeguard.functions.text import WS, is_blank, let, trimmed
 
 # One pattern for each format that a single whole-cell pattern decides.
 PATTERNS = {
-    "emailAddress": rf"[^{WS}@]+@[^{WS}@.]+(?:\.[^{WS}@.]+)+",
+    "emailAddress": rf"[^{WS}@]+@[^{WS}@.]+(?:\.[^{WS}@.]+)++",
     "uuid": r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",
     "timestampIso": r"(?i)[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])[T ][01][0-9]:[0-5][0-9](?::[0-5][0-9])?(?:\.[0-9]{1,6})?(?:Z|[+-][0-9]{2}:?[0-9]{2})?",
     "dateIso": r"[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])",
@@ -28,12 +29,12 @@ PATTERNS = {
     "phoneE164": r"\+[1-9][0-9]{6,14}",
     "phoneLocalId": r"08[0-9]{1,2}[ -]?[0-9]{3,4}[ -]?[0-9]{4,5}",
     "phoneDigitsOnly": r"8[0-9]{9,12}",
-    "currencyPrefixed": rf"(?i)(?:rp|idr|usd|\$|\x{{20AC}}|\x{{A3}})[{WS}]*-?(?:[0-9]+|[0-9]{{1,3}}(?:[.,][0-9]{{3}})+)(?:[.,][0-9]{{1,2}})?",
+    "currencyPrefixed": rf"(?i)(?:rp|idr|usd|\$|\x{{20AC}}|\x{{A3}})[{WS}]*-?(?:[0-9]+|[0-9]{{1,3}}(?:[.,][0-9]{{3}})++)(?:[.,][0-9]{{1,2}})?",
     "percentSuffixed": rf"-?[0-9]+(?:[.,][0-9]+)?[{WS}]*%",
-    "decimalPoint": r"-?(?:[0-9]+|[0-9]{1,3}(?:,[0-9]{3})+)\.[0-9]+",
-    "decimalComma": r"-?(?:[0-9]+|[0-9]{1,3}(?:\.[0-9]{3})+),[0-9]+",
+    "decimalPoint": r"-?(?:[0-9]+|[0-9]{1,3}(?:,[0-9]{3})++)\.[0-9]+",
+    "decimalComma": r"-?(?:[0-9]+|[0-9]{1,3}(?:\.[0-9]{3})++),[0-9]+",
     "digitsFixedLength": r"[0-9]{5,20}",
-    "integerPlain": r"-?(?:[0-9]+|[0-9]{1,3}(?:,[0-9]{3})+)",
+    "integerPlain": r"-?(?:[0-9]+|[0-9]{1,3}(?:,[0-9]{3})++)",
 }
 
 # Fixed value: the order in which recognisers are tried.
@@ -55,9 +56,23 @@ MONTHS = {
 }
 DATES = ("timestampIso", "dateIso", "dateDmySlash", "dateMdySlash", "dateDmyDot", "dateTextualMonth")
 
-#: Longest cell that a whole-cell pattern with a loop over a group is asked about; longer ones can't be such values.
-GROUPED_AT_MOST = 2000
-GROUPED = ("emailAddress", "currencyPrefixed", "decimalPoint", "decimalComma", "integerPlain")
+#: What every match of a pattern has, told without a pattern.
+NEEDS = {
+    "emailAddress": lambda c: c.contains("@"),
+    "uuid": lambda c: F.length(c) == 36,
+    "timestampIso": lambda c: F.length(c) >= 16,
+    "dateIso": lambda c: F.length(c) == 10,
+    "dateDmySlash": lambda c: c.contains("/"),
+    "dateMdySlash": lambda c: c.contains("/"),
+    "dateDmyDot": lambda c: c.contains("."),
+    "phoneE164": lambda c: c.startswith("+"),
+    "phoneLocalId": lambda c: c.startswith("08"),
+    "phoneDigitsOnly": lambda c: c.startswith("8"),
+    "percentSuffixed": lambda c: c.endswith("%"),
+    "decimalPoint": lambda c: c.contains("."),
+    "decimalComma": lambda c: c.contains(","),
+    "digitsFixedLength": lambda c: F.length(c).between(5, 20),
+}
 
 SIGNS = {
     "alphanumericCode": ((r"\A[A-Za-z0-9](?:[-A-Za-z0-9_/.]*[A-Za-z0-9])?\z", r"\p{L}", r"[0-9]"), (r"[-_/.]{2}",)),
@@ -87,7 +102,7 @@ def matches(c: Column, name: str) -> Column:
         has, lacks = SIGNS[name]
         return reduce(Column.__and__, [c.rlike(p) for p in has] + [~c.rlike(p) for p in lacks])
     hit = c.rlike(whole(PATTERNS[name]))
-    return (F.length(c) <= GROUPED_AT_MOST) & hit if name in GROUPED else hit
+    return NEEDS[name](c) & hit if name in NEEDS else hit
 
 
 def classify(c: Column) -> Column:

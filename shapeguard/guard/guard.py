@@ -34,6 +34,7 @@ class GuardConfig:
     k: int = DEFAULT_K
     queries_per_column: int = QUERIES_PER_COLUMN
     as_of: date | None = None  # today's date where None
+    exact_duplicates: bool = False  # compare within blocks of any size, where those over 500 rows are only told
 
 
 class Host:
@@ -219,10 +220,11 @@ class Guard:
             if bad := charge(named):
                 return bad
             limit = dedupe.clamp(threshold)
-            rows = dedupe.folded(live.df, named)
-            found = dedupe.pairs(rows, named, limit).orderBy(F.desc("score"), "a", "b").limit(dedupe.MAX_PAIRS + 1).collect()
+            rows, exact = settled(dedupe.folded(live.df, named)), config.exact_duplicates
+            best = settled(dedupe.pairs(rows, limit, exact=exact).orderBy(F.desc("score"), "a", "b").limit(dedupe.MAX_PAIRS + 1))
+            found = dedupe.matched(best, rows, named, limit).orderBy(F.desc("score"), "a", "b").collect()
             shown = [{"a": r["a"], "b": r["b"], "score": r["score"], "matched_columns": list(r["matched_columns"])} for r in found[: dedupe.MAX_PAIRS]]
-            skipped = [r["n"] for r in dedupe.skipped_blocks(rows).select("n").orderBy(F.desc("n")).limit(dedupe.MAX_PAIRS).collect()]
+            skipped = [] if exact else [r["n"] for r in dedupe.skipped_blocks(rows).select("n").orderBy(F.desc("n")).limit(dedupe.MAX_PAIRS).collect()]
             return answered({"pairs": shown, "truncated": len(found) > dedupe.MAX_PAIRS, "skipped_blocks": skipped, "cap": dedupe.MAX_PAIRS}, named)
 
         def bad_rows(spec: TransformSpec, rows: Sequence[int] | None) -> str | None:

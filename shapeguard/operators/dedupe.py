@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shapeguard.functions.fold import block_keys, fold, similarity
+from shapeguard.functions.text import round3
+from shapeguard.sources.shared import settled
 from shapeguard.sources.table import quoted
 from shapeguard.types import ROW_ID
 
@@ -33,32 +34,56 @@ def skipped_blocks(rows: DataFrame, limit: int = MAX_BLOCK) -> DataFrame:
     return blocks(rows).where(F.col("n") > limit)
 
 
-def pairs(rows: DataFrame, columns: Sequence[str], threshold: float, limit: int = MAX_BLOCK) -> DataFrame:
-    """a, b, score, matched_columns for all pairs of rows in a common block.
+def met(rows: DataFrame, limit: int, exact: bool) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the comparison, by ``meet``: the blocks' rows, or with ``exact`` also
+    those of larger blocks, cut into parts of ``limit`` that meet two by two."""
+    own = rows.select(ROW_ID, "joined", F.length("joined").alias("size"), F.explode(block_keys(F.col("joined"))).alias("key"))
+    sizes = blocks(rows).where((F.col("n") >= 2) if exact else F.col("n").between(2, limit))
+    parts = F.ceil(F.col("n") / F.lit(limit)).cast("int")
+    keyed = own.join(sizes.select("key", parts.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64(ROW_ID), F.col("parts")).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    name = lambda i, j: F.concat_ws(":", "key", i, j)
+    left = keyed.withColumn("other", each).select(name("part", "other").alias("meet"), F.col(ROW_ID).alias("a"), F.col("joined").alias("ja"), F.col("size").alias("na"))
+    right = keyed.withColumn("other", each).select(name("other", "part").alias("meet"), F.col(ROW_ID).alias("b"), F.col("joined").alias("jb"), F.col("size").alias("nb"))
+    return left, right
 
-    A block has at most ``limit`` rows, so pairs grow in proportion to rows; the
-    length gap is tested before the distance, and a pair in both of its blocks is
-    compared in the first only.
+
+def pairs(rows: DataFrame, threshold: float, limit: int = MAX_BLOCK, exact: bool = False) -> DataFrame:
+    """a, b, score for all pairs of rows in a common block.
+
+    A block has at most ``limit`` rows, so pairs grow in proportion to rows; larger ones
+    are left out and told by ``skipped_blocks``, or compared as well if ``exact``. The
+    length gap is tested within the join, the distance is bounded by what the
+    threshold allows, and only pairs that pass are made distinct.
     """
-    # Sizes and rows meet on the key; blocks with one row or too many never reach the join.
-    usable = blocks(rows).where(F.col("n").between(2, limit)).select("key")
-    keyed = rows.withColumn("key", F.explode(block_keys(F.col("joined")))).join(usable, "key", "left_semi")
-    left = keyed.select("key", F.col(ROW_ID).alias("a"), F.col("joined").alias("ja"), F.col("parts").alias("pa"))
-    right = keyed.select("key", F.col(ROW_ID).alias("b"), F.col("joined").alias("jb"), F.col("parts").alias("pb"))
-    score = similarity(F.col("ja"), F.col("jb"), threshold)
-    met = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b"))).withColumn("score", score).where(F.col("score") >= threshold)
-    once = met.groupBy("a", "b").agg(F.first("score").alias("score"), F.first("pa").alias("pa"), F.first("pb").alias("pb"))
+    left, right = met(rows, limit, exact)
+    longest = F.greatest("na", "nb")
+    allowed = F.floor(longest.cast("double") * F.lit(1.0 - threshold)).cast("int")
+    near = left.join(right, (left["meet"] == right["meet"]) & (F.col("a") < F.col("b")) & (F.abs(F.col("na") - F.col("nb")) <= allowed))
+    far = near.select("a", "b", longest.alias("longest"), allowed.alias("allowed"), "ja", "jb").withColumn("d", F.expr("levenshtein(ja, jb, allowed)"))
+    score = round3(1 - F.col("d").cast("double") / F.col("longest"))
+    return far.where("d >= 0").select("a", "b", score.alias("score")).where(F.col("score") >= threshold).groupBy("a", "b").agg(F.first("score").alias("score"))
+
+
+def matched(found: DataFrame, rows: DataFrame, columns: Sequence[str], threshold: float) -> DataFrame:
+    """a, b, score, matched_columns of a few pairs."""
+    own = rows.select(ROW_ID, "parts")
+    a, b = own.toDF("a", "pa"), own.toDF("b", "pb")
+    both = a.join(F.broadcast(found.join(F.broadcast(found.select("b").distinct().join(b, "b")), "b")), "a")  # MAX_PAIRS rows at most
     names = []
     for i, c in enumerate(columns):
         x, y = F.col("pa")[i], F.col("pb")[i]
         names.append(F.when(~((x == "") & (y == "")) & (similarity(x, y, threshold) >= threshold), F.lit(c)))
-    return once.select("a", "b", "score", F.array_compact(F.array(*names)).alias("matched_columns"))
+    return both.select("a", "b", "score", F.array_compact(F.array(*names)).alias("matched_columns"))
 
 
-def find_duplicates(df: DataFrame, columns: Sequence[str], threshold: float = DEFAULT_THRESHOLD, ascii_only: bool = False, most: int = MAX_PAIRS) -> DataFrame:
-    """The best pairs first; a top-k that is never sorted whole."""
-    found = pairs(folded(df, columns, ascii_only), columns, threshold)
-    return found.orderBy(F.desc("score"), "a", "b").limit(most)
+def find_duplicates(
+    df: DataFrame, columns: Sequence[str], threshold: float = DEFAULT_THRESHOLD, ascii_only: bool = False, most: int = MAX_PAIRS, exact: bool = False
+) -> DataFrame:
+    """The best pairs first; a top-k that is never sorted whole. Rows are folded once."""
+    rows = settled(folded(df, columns, ascii_only))
+    best = settled(pairs(rows, threshold, exact=exact).orderBy(F.desc("score"), "a", "b").limit(most))
+    return matched(best, rows, columns, threshold).orderBy(F.desc("score"), "a", "b")
 
 
 def clamp(threshold: float | None) -> float:
@@ -66,4 +91,4 @@ def clamp(threshold: float | None) -> float:
     return min(1.0, max(LEAST_THRESHOLD, value))
 
 
-__all__ = ["blocks", "clamp", "find_duplicates", "folded", "pairs", "reduce", "skipped_blocks"]
+__all__ = ["blocks", "clamp", "find_duplicates", "folded", "pairs", "skipped_blocks"]

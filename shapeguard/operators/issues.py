@@ -11,15 +11,15 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import date
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shapeguard.functions.formats import classify, date_parts, day_number, is_placeholder, is_real_date, numeric
 from shapeguard.functions.text import WS, is_blank, let, trimmed
 from shapeguard.operators.profile import DISTINCT_CAP, first_rows, long_form
 from shapeguard.sources.shared import settled
-from shapeguard.sources.table import numbered
 from shapeguard.types import ROW_ID
 
 MAX_ROWS = 100
@@ -48,24 +48,46 @@ def quartile_places(n: int) -> list[float]:
     return [(n - 1) * f for f in (0.25, 0.75)]
 
 
+def ranked(counts: DataFrame, wanted: dict[str, set[int]]) -> dict[str, dict[int, float]]:
+    """Per column the values at the wanted places of its sorted numbers; ``counts``: column, x, n.
+
+    Values are counted before they are sorted, so a frequent one is a single row. Rows
+    are range-partitioned; a total for each column and partition tells which partitions
+    hold a wanted place, and only their rows are summed up one by one."""
+    parts = max(1, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = settled(counts.repartitionByRange(parts, "column", "x").withColumn("p", F.spark_partition_id()))
+    sums = placed.groupBy("column", "p").agg(F.sum("n").alias("n")).collect()  # columns + partitions rows, as each holds a range
+    before, start, holds = {}, {}, []
+    for r in sorted(sums, key=lambda r: (r["column"], r["p"])):
+        c, at = r["column"], before.get(r["column"], 0)
+        before[c] = at + r["n"]
+        if any(at <= w < at + r["n"] for w in wanted[c]):
+            start[c, r["p"]] = at
+            holds.append((F.col("column") == c) & (F.col("p") == r["p"]))
+    if not holds:
+        return {}
+    upto = F.sum("n").over(Window.partitionBy("column", "p").orderBy("x"))
+    own = placed.where(reduce(Column.__or__, holds)).withColumn("upto", upto)
+    offset = reduce(lambda acc, k: acc.when((F.col("column") == k[0]) & (F.col("p") == k[1]), start[k]), start, F.when(F.lit(False), 0))
+    last = (offset + F.col("upto")).cast("long")
+    hit = reduce(Column.__or__, [(F.col("column") == c) & (last - F.col("n") <= w) & (w < last) for c, places in wanted.items() for w in places])
+    rows = own.where(hit).select("column", "x", (last - F.col("n")).alias("first"), last.alias("last")).collect()  # four a column at most
+    return {c: {w: r["x"] for r in rows if r["column"] == c for w in wanted[c] if r["first"] <= w < r["last"]} for c in wanted}
+
+
 def fences(values: DataFrame, counts: dict[str, int], k: int) -> dict[str, tuple[float, float]]:
     """Outer fences per column by linearly interpolated quartiles of (column, x); columns
-    of which they say nothing are left out. All columns are numbered in one order, so
-    no task holds a column, and four values a column reach the driver."""
+    of which they say nothing are left out."""
     counts = {c: n for c, n in counts.items() if n >= max(LEAST_NUMBERS, k)}
     if not counts:
         return {}
-    start, wanted = {}, {}
-    for c in sorted(counts):
-        start[c] = sum(counts[d] for d in start)
-        wanted[c] = {start[c] + i for p in quartile_places(counts[c]) for i in (math.floor(p), math.ceil(p))}
-    own = values.where(F.col("column").isin(*counts))
-    at = numbered(own, [F.col("column"), F.col("x")], "__i").where(F.col("__i").isin(*set().union(*wanted.values())))
-    found = {r["__i"]: r["x"] for r in at.select("__i", "x").collect()}
+    wanted = {c: {i for p in quartile_places(n) for i in (math.floor(p), math.ceil(p))} for c, n in counts.items()}
+    each = values.where(F.col("column").isin(*counts)).groupBy("column", "x").agg(F.count(F.lit(1)).alias("n"))
+    found = ranked(each, wanted)
     out = {}
     for c, n in counts.items():
         low, high = (
-            (a := found[start[c] + math.floor(p)]) + (found[start[c] + math.ceil(p)] - a) * (p - math.floor(p)) for p in quartile_places(n)
+            (a := found[c][math.floor(p)]) + (found[c][math.ceil(p)] - a) * (p - math.floor(p)) for p in quartile_places(n)
         )
         if high > low:
             out[c] = low - FENCE * (high - low), high + FENCE * (high - low)

@@ -21,7 +21,7 @@ from shapeguard.plans.predicate import compile_query, matching_rows
 from shapeguard.session import People, Session
 from shapeguard.sources import csv as csv_source
 from shapeguard.sources.fixture import messy
-from shapeguard.sources.shared import shared_folder
+from shapeguard.sources.shared import shared_folder, spread
 from shapeguard.sources.table import as_strings, from_dataframe, quoted
 from shapeguard.types import ROW_ID, Condition, Query, TransformSpec
 
@@ -41,7 +41,7 @@ def add(name: str, run: Callable[[SparkSession, str], DataFrame], oracle: str |
 
 def table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
     own = spark.read.parquet(f"{sf}/{name}.parquet")
-    return as_strings(own.select(*columns) if columns else own)
+    return as_strings(spread(own.select(*columns) if columns else own))
 
 
 def public(df: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ for fn in agg.METRICS:
         lambda s, d, fn=fn: agg.aggregate(messy(s, d), "city", fn, "amount" if fn != "count" else None, K),
         duck.with_messy(duck.aggregate("messy", "city", fn, "amount" if fn != "count" else None, K)),
     )
-    money = "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR)"
+    money = "CAST(o_totalprice AS VARCHAR)"
     add(
         f"agg_{fn}_orders",
         lambda s, d, fn=fn: agg.aggregate(table(s, d, "orders", "o_orderpriority", "o_totalprice"), "o_orderpriority", fn, "o_totalprice" if fn != "count" else None, K),
@@ -169,7 +169,7 @@ add(
 add(
     "agg_suppressed_extremes",
     lambda s, d: agg.aggregate(messy(s, d), "city", "max", "amount", 3, compile_query(Query((Condition("lengthBetween", "name", min=1, max=99),)))),
-    duck.with_messy(duck.aggregate("(SELECT * FROM messy WHERE row_id < 60)", "city", "max", "amount", 3, "length(name) BETWEEN 1 AND 99")),
+    duck.with_messy(duck.aggregate("messy", "city", "max", "amount", 3, "length(name) BETWEEN 1 AND 99")),
 )
 
 
@@ -241,7 +241,7 @@ def customers(s: SparkSession, d: str) -> DataFrame:
 
 CUSTOMER_LONG = (
     "l AS (" + " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, CAST({'CAST(c_acctbal AS DECIMAL(18,2))' if c == 'c_acctbal' else c} AS VARCHAR) AS cell FROM customer" for c in CUSTOMER
+        f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS cell FROM customer" for c in CUSTOMER
     ) + ")"
 )
 add(
@@ -354,8 +354,7 @@ def issue_rows(code: str, column: str) -> Callable[[SparkSession, str], DataFram
 
 
 for code, (column, rows) in ISSUES.items():
-    where = "row_id < 900" if code == "duplicateKey" else "TRUE"
-    cells = f"c AS (SELECT row_id, {column} AS cell FROM messy WHERE {where} AND NOT ({duck.blank(column)}))"
+    cells = f"c AS (SELECT row_id, {column} AS cell FROM messy WHERE NOT ({duck.blank(column)}))"
     add(
         f"issue_{code}",
         issue_rows(code, column),
@@ -415,7 +414,7 @@ add(
     "similarity_scores",
     neighbours,
     duck.with_messy(
-        f"w AS (SELECT row_id, {duck.fold('name')} AS a, {duck.fold('lead(name) OVER (PARTITION BY city ORDER BY row_id)')} AS b FROM messy WHERE row_id < 2000) "
+        f"w AS (SELECT row_id, {duck.fold('name')} AS a, {duck.fold('lead(name) OVER (PARTITION BY city ORDER BY row_id)')} AS b FROM messy) "
         f"SELECT row_id, {duck.similarity('a', 'b', 0.5)} AS score, {duck.similarity('a', 'b', 0.9)} AS strict_score FROM w WHERE b IS NOT NULL"
     ),
 )

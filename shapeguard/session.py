@@ -9,12 +9,13 @@ import time
 import uuid
 from collections import OrderedDict
 from collections.abc import Callable
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 from shapeguard.guard.guard import Guard, GuardConfig, Host
+from shapeguard.guard.policy import check_k
 from shapeguard.operators.dedupe import clamp
 from shapeguard.plans.predicate import parse_query, whole
 from shapeguard.plans.transform_spec import SpecError, parse_rows, parse_spec
@@ -114,8 +115,8 @@ class Gate:
 
     def wait(self) -> Any:
         if not self._done.wait(self.seconds):
-            self.settle(self.fallback)
-            self.cause = "timeout"
+            with self._lock:
+                self._done.set()  # the cause stays "timeout", unless somebody was faster
         return self._value
 
 
@@ -166,8 +167,8 @@ class Session(Host):
     def load(self, dataset: Dataset, config: GuardConfig = GuardConfig()) -> Guard:
         self._abandon()
         if self._k is not None:
-            config = GuardConfig(max(self._k, config.k), config.queries_per_column, config.as_of)
-        self.guard, self._dataset = Guard(dataset, config, self), dataset
+            config = replace(config, k=max(self._k, config.k))
+        self.guard, self._dataset, self._k = Guard(dataset, config, self), dataset, config.k
         self.journal.append("datasetLoaded", dataset.source_name, f"{dataset.row_count} rows, {len(dataset.columns)} columns", "human")
         return self.guard
 
@@ -178,9 +179,12 @@ class Session(Host):
         self.guard = self._dataset = None
 
     def raise_k(self, k: int) -> str | None:
-        reason = self.guard.raise_k(k) if self.guard else None
+        """Why the minimum group size can't become ``k``, or None. It never falls, with or without a table."""
+        reason = check_k(k) or (self.guard.raise_k(k) if self.guard else None)
+        if reason is None and not self.guard and self._k is not None and k < self._k:
+            reason = f"the minimum group size is {self._k} and can only be raised"
         if reason is None:
-            self._k = k
+            self._k = max(self._k or 0, k)
         return reason
 
     def _abandon(self) -> None:

@@ -149,4 +149,4 @@ def csv_schema(names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType(), False) for n in names])
 
 
-__all__ = ["Parsed", "column_names", "csv_schema", "quoted", "read_csv", "sniff", "tokenised", "WS"]
+__all__ = ["Parsed", "column_names", "csv_schema", "read_csv", "sniff", "tokenised"]

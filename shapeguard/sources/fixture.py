@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shapeguard.sources.shared import spread
 from shapeguard.types import ROW_ID
 
 # Fixed value: the same text runs in Spark and DuckDB, so results can be compared.
@@ -49,7 +50,7 @@ FROM a
 
 def messy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``_row_id`` and name, phone, email, city, joined, amount, notes, code."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"))
     return spark.sql(MESSY_SQL.replace("FROM orders", "FROM {orders}"), orders=orders).withColumnRenamed("row_id", ROW_ID)
 
 

@@ -38,12 +38,24 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str = ROW_ID) -> Data
     return placed.withColumn(name, offset + local).drop("__p", "__m")
 
 
+def number_text(c: Column) -> Column:
+    """A double's shortest digits that read back as the same double; plain from 10^-7 to
+    below 10^20, with an exponent beyond, NaN and Infinity by name."""
+    text, size = c.cast("string"), F.abs(c)
+
+    def plain(fraction: int) -> Column:
+        digits = F.regexp_replace(text.cast(f"decimal(38,{fraction})").cast("string"), "0+$", "")
+        return F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+
+    large, small = (size >= 1e7) & (size < 1e20), (size < 1e-3) & (size >= 1e-7)
+    return F.when(large, plain(17)).when(small, plain(30)).otherwise(text)
+
+
 def as_text(field: T.StructField) -> Column:
     """A typed column as the text a file would hold; null is empty."""
     c = quoted(field.name)
-    if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-        c = c.cast("decimal(18,2)")
-    return F.coalesce(c.cast("string"), F.lit("")).alias(field.name)
+    text = number_text(c) if isinstance(field.dataType, (T.DoubleType, T.FloatType)) else c.cast("string")
+    return F.coalesce(text, F.lit("")).alias(field.name)
 
 
 def as_strings(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -1,5 +1,7 @@
 """Formats, profiles, aggregates, findings, duplicates and transforms."""
 
+import random
+import statistics
 from datetime import date
 
 import pytest
@@ -12,7 +14,7 @@ from shapeguard.functions.text import round3, rounded_metric, trimmed
 from shapeguard.operators import aggregate as agg
 from shapeguard.operators import dedupe, issues, profile, transforms
 from shapeguard.sources.fixture import generated, messy
-from shapeguard.sources.table import numbered, quoted
+from shapeguard.sources.table import as_strings, numbered, quoted
 from shapeguard.types import ROW_ID, TransformSpec
 
 SF = "/root/testdata/sf0.001"
@@ -153,7 +155,7 @@ def test_findings(spark):
 def test_oversized_blocks_are_skipped(spark):
     df = cells(spark, ["same value"] * 12 + ["other thing", "other thinh"])
     rows = dedupe.folded(df, ["c"])
-    assert {(r["a"], r["b"]) for r in dedupe.pairs(rows, ["c"], 0.85, 10).collect()} == {(12, 13)}
+    assert {(r["a"], r["b"]) for r in dedupe.pairs(rows, 0.85, 10).collect()} == {(12, 13)}
     assert sorted(r["n"] for r in dedupe.skipped_blocks(rows, 10).collect()) == [12, 12]
 
 
@@ -206,3 +208,54 @@ def test_generated_rows_have_defects(spark):
     df = generated(spark, 2000)
     assert df.count() == 2000 and df.where(~(F.col("email") == trimmed(quoted("email")))).count() > 0
     assert generated(spark, 2000).exceptAll(df).count() == 0
+
+
+def test_doubles_keep_their_digits(spark):
+    values = [0.001234, 1e17, float("nan"), float("-inf"), 12.5, 3.0, -12345678.25, 1e-5, 1.5e-9, 1e300, 123456789012345680.0, 0.1 + 0.2, None, 0.0]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "_row_id long, x double")
+    got = [r.x for r in as_strings(df).orderBy("_row_id").collect()]
+    assert got[:5] == ["0.001234", "100000000000000000.0", "NaN", "-Infinity", "12.5"]
+    assert got[5:8] == ["3.0", "-12345678.25", "0.00001"] and got[12:] == ["", "0.0"]
+    assert all(float(t) == v for t, v in zip(got, values) if v is not None and v == v)
+    assert as_strings(spark.createDataFrame([(0.5,)], "x float")).first().x == "0.5"
+
+
+def test_long_cells_are_classified_by_the_same_rules(spark):
+    cells = {"a@" + "b." * 50_000 + "c": "emailAddress", "1" + ",234" * 50_000: "integerPlain", "-1" + ".234" * 40_000 + ",5": "decimalComma", "1" + ",234" * 40_000 + ".5": "decimalPoint", "Rp 1" + ".234" * 40_000 + ",50": "currencyPrefixed"}
+    df = spark.createDataFrame([(c, f) for c, f in cells.items()], "cell string, want string")
+    assert df.where(classify(F.col("cell")) != F.col("want")).count() == 0
+
+
+def test_quartiles_of_equal_and_different_numbers(spark):
+    rng = random.Random(5)
+    columns = {"zeros": [0.0] * 950 + [float(i) for i in range(50)], "many": [rng.gauss(0, 1) for _ in range(777)], "few": [float(rng.randint(0, 3)) for _ in range(64)], "short": [1.0] * 5}
+    rows = spark.createDataFrame([(c, x) for c, xs in columns.items() for x in xs], "column string, x double")
+    got = issues.fences(rows, {c: len(v) for c, v in columns.items()}, 5)
+    want = {}
+    for c in ("many", "few"):
+        low, _, high = statistics.quantiles(columns[c], n=4, method="inclusive")
+        want[c] = low - 3 * (high - low), high + 3 * (high - low)
+    assert got.keys() == want.keys() and all(abs(a - b) < 1e-9 for c in want for a, b in zip(got[c], want[c]))
+
+
+def test_blocks_of_any_size_can_be_compared(spark):
+    rng = random.Random(2)
+    rows = [(i, "Ana " + "".join(rng.choices("abc", k=6))) for i in range(120)]
+    df = spark.createDataFrame(rows, "_row_id long, name string")
+    folded = dedupe.folded(df, ["name"])
+    capped = {(r.a, r.b) for r in dedupe.pairs(folded, 0.85, limit=10).collect()}
+    got = {(r.a, r.b): r.score for r in dedupe.pairs(folded, 0.85, limit=10, exact=True).collect()}
+    names = {i: t.lower() for i, t in rows}
+    keys = lambda t: {t[:2] + str(len(t) // 4), "s" + t[-4:]}
+
+    def distance(a, b):
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            own = [i]
+            for j, y in enumerate(b, 1):
+                own.append(min(last[j] + 1, own[-1] + 1, last[j - 1] + (x != y)))
+            last = own
+        return last[-1]
+
+    want = {(a, b) for a in names for b in names if a < b and keys(names[a]) & keys(names[b]) and distance(names[a], names[b]) <= 1}
+    assert set(got) == want and capped < want and all(s in (0.9, 1.0) for s in got.values())

@@ -197,3 +197,27 @@ def test_no_code_or_patterns_from_callers():
         text = path.read_text()
         assert not re.search(r"(?<![\w.])(?:eval|exec)\(", text), path
         assert "shapeguard.llm" not in text, path
+
+
+def test_a_raised_group_size_survives_a_clear(spark):
+    df = spark.createDataFrame([(i, "x") for i in range(20)], f"{ROW_ID} long, a string")
+    own = Session()
+    table = from_dataframe(df, as_row_id=ROW_ID)
+    own.load(table)
+    assert own.raise_k(10) is None
+    own.clear()
+    assert own.raise_k(3) and own.raise_k(2) and own.raise_k("4") and own.raise_k(True)
+    assert own.load(table).settings()["k"] == 10
+    own.clear()
+    assert own.raise_k(12) is None and own.load(table, GuardConfig(k=7)).settings()["k"] == 12
+    other = Session()
+    other.load(table, GuardConfig(k=20))
+    other.clear()
+    assert other.load(table).settings()["k"] == 20
+
+
+def test_the_cause_of_a_gate_is_who_was_first():
+    gate = Gate("safe", 0.01)
+    assert gate.wait() == "safe" and gate.cause == "timeout" and not gate.settle("late") and gate.wait() == "safe"
+    gate = Gate("safe", 5)
+    assert gate.settle("said") and gate.wait() == "said" and gate.cause == "answered"
