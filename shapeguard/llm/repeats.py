@@ -4,32 +4,40 @@ Triggers are places in a text chosen by a rolling hash: of the 153 48-byte
 strings inside a 200-byte window, the one with the least hash (the leftmost of
 equals). Taking minima instead of a modulus bounds the gap between triggers, so
 every window has one and equal windows have it at the same place. The windows of
-one trigger are neighbours and make a phrase, which overlaps the next by 199
-bytes; the phrases of all texts are the dictionary, their order in texts the
-parse.
+one trigger are neighbours; their bytes are cut at the trigger into two phrases,
+which overlap in it: one that ends with the trigger and one that begins with it.
+Windows can only be equal where their triggers are, so the parse falls into parts,
+one a trigger, that are ordered apart from each other:
 
 1. Triggers that occur once in the corpus are dropped: their windows are unique.
-2. Phrases that occur twice or more are repeated whole, and one stands for all.
-3. Of the rest, only phrases that share a trigger can share windows. For them the
-   orders of the two sides are built: of at most 153 bytes before the trigger (read
-   backwards) and of at most 200 bytes from it on, both within the phrase, each with
-   its longest common prefixes. Windows are equal where both sides' classes, at
-   depths that add up to 200, are equal.
-
-These orders of bounded neighbourhoods, one trigger at a time, stand in for the
-suffix array of the parse, which is not built, as is no order of the whole corpus:
-every 200-byte window lies inside one phrase, so the order of phrases in texts
-can't tell more about it.
-
-Texts travel once to cut out the phrases of step 3 and once to be cleaned. All
-counts combine before they are shuffled, occurrences meet the dictionary in plain
-equi-joins that Spark can split, and a trigger with more than ``HOT`` different
-phrases is counted window by window instead, so no task holds it whole.
+2. Pairs of phrases that occur twice or more are repeated whole, and one stands for all.
+3. Of the rest, the dictionary of a trigger holds its different phrases. The suffix
+   array of those that end with the trigger (all their suffixes end alike, so it is the
+   order of the phrases read backwards) has the longest common suffix of each with the
+   one before it; the suffix array of the parse, in which every suffix is one phrase from
+   the trigger on, has longest common prefixes. Both combine into the order of the
+   corpus: the suffixes that start l bytes ahead of the trigger are sorted by the class
+   of these l bytes in the dictionary's array and then by their rank in the parse's.
+   Neighbours there are equal windows if they are of one class and the prefixes of
+   the parse agree for the other 200 - l bytes.
+
+A trigger with more than ``HOT`` different pairs gets longer triggers by the same rule:
+windows that start far ahead of it share the bytes before it, the others share
+those behind it, so each half is dealt by the bytes that all its equal windows share;
+and again, until few share them or the window is shared whole. So no task holds
+a hot trigger, and every part is ordered as any other.
+
+Texts are parsed once, into a written table of occurrences; they travel once to cut
+out the phrases of step 3 and once to be cleaned. Counts combine before they are
+shuffled, and triggers and phrases with very many occurrences meet them in
+broadcast tables of bounded size (``common.MOST_HOT`` rows).
 
 Defined cases: null and empty texts stay empty; texts under 200 bytes keep
-everything; matches never cross documents; rows that repeat are copies of each
-other (and removed, if long enough); a row without doc_id is treated like any
-other; an empty table gives an empty result; further columns are ignored.
+everything; texts of any length are parsed whole; matches never cross documents; rows
+that repeat are copies of each other (and removed, if long enough), though equal rows
+are cut and found once for all of them; a row without doc_id is treated like any
+other; an empty table gives an empty result; further columns are ignored, whatever
+their names. Phrases are told apart by 128 bits of two hashes.
 """
 
 from __future__ import annotations
@@ -45,10 +53,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shapeguard.llm.common import cut, small, utf8
+from shapeguard.llm.common import LEAST_HOT, MOST_HOT, cut, small, utf8
 
 LENGTH, TRIGGER = 200, 48
-#: Different phrases of one trigger that a task takes at once.
+#: Different pairs of phrases of one trigger that a task takes; with more of them it gets longer triggers.
 HOT = 4096
 #: Bytes of texts that are parsed together, and phrases that are ordered together.
 BUFFER, ORDERED = 2 << 20, 20_000
@@ -153,39 +161,44 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield parsed(texts, d, k)
 
 
-def prefix_classes(rows: np.ndarray, groups: np.ndarray, depths: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order of equal-width rows within groups: the order, and the longest common
-    prefix of each row with the one before it (-1 at a new group)."""
+def sorted_phrases(rows: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The dictionary of equal-width phrases in order: the rank of each row's phrase, and for each
+    rank the longest common prefix with the one before it (-1 where a group begins)."""
     keyed = np.concatenate([groups.astype(">u8").view(np.uint8).reshape(-1, 8), rows], axis=1)
     order = np.argsort(np.ascontiguousarray(keyed).view(f"S{keyed.shape[1]}").ravel(), kind="stable")
     own = keyed[order]
     differ = own[1:] != own[:-1]
-    common = np.where(differ.any(axis=1), differ.argmax(axis=1), 8 + depths) - 8
-    return order, np.r_[-1, np.where(common < 0, -1, common)]
-
-
-def shared_windows(groups: np.ndarray, texts: list[bytes], before: np.ndarray, back: np.ndarray, length: int = LENGTH, trigger: int = TRIGGER) -> np.ndarray:
-    """For each phrase and each distance l ahead of its trigger, whether its window there
-    also stands in another phrase of the same group."""
+    new = differ.any(axis=1)
+    common = differ.argmax(axis=1)[new] - 8
+    rank = np.empty(len(rows), np.int64)
+    rank[order] = np.cumsum(np.r_[0, new])
+    return rank, np.r_[-1, np.maximum(common, -1)]
+
+
+def shared_windows(
+    groups: np.ndarray, texts: list[bytes], before: np.ndarray, back: np.ndarray, low: np.ndarray, high: np.ndarray, length: int = LENGTH, trigger: int = TRIGGER
+) -> np.ndarray:
+    """For each text around a trigger and each distance l (low to high) ahead of it, whether the
+    window there also stands in another text of the same group."""
     n, reach = len(texts), length - trigger + 1
-    left, right = np.zeros((n, reach), np.uint8), np.zeros((n, length), np.uint8)
+    ends_with, begins_with = np.zeros((n, reach), np.uint8), np.zeros((n, length), np.uint8)
     for i, (text, b) in enumerate(zip(texts, before.tolist(), strict=True)):
         row = np.frombuffer(text, np.uint8)
-        left[i, :b] = row[:b][::-1]
-        right[i, : len(row) - b] = row[b:]
-    left_order, left_common = prefix_classes(left, groups, reach)
-    right_order, right_common = prefix_classes(right, groups, length)
+        ends_with[i, :b] = row[:b][::-1]
+        begins_with[i, : len(row) - b] = row[b:]
+    word, common_suffix = sorted_phrases(ends_with, groups)  # the dictionary's suffix array
+    suffix, common_prefix = sorted_phrases(begins_with, groups)  # the parse's
+    first, last = np.maximum(back, low), np.minimum(before, high)
     out = np.zeros((n, reach), bool)
-    left_class, right_class = np.empty(n, np.int64), np.empty(n, np.int64)
-    for at in range(reach):
-        has = np.flatnonzero((back <= at) & (at <= before))
+    for at in range(int(first.min(initial=reach)), int(last.max(initial=-1)) + 1):
+        has = np.flatnonzero((first <= at) & (at <= last))
         if len(has) < 2:
             continue
-        left_class[left_order] = np.cumsum(left_common < at)
-        right_class[right_order] = np.cumsum(right_common < length - at)
-        key = left_class[has] * (n + 1) + right_class[has]
-        _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-        out[has, at] = count[inverse] > 1
+        same_head = np.cumsum(common_suffix < at)[word[has]]
+        same_rest = np.cumsum(common_prefix < length - at)[suffix[has]]
+        order = np.lexsort((suffix[has], same_head))  # the corpus, from l bytes ahead of its triggers on
+        equal = (same_head[order][1:] == same_head[order][:-1]) & (same_rest[order][1:] == same_rest[order][:-1])
+        out[has[order], at] = np.r_[equal, False] | np.r_[False, equal]
     return out
 
 
@@ -201,12 +214,14 @@ def byte_ranges(flags: np.ndarray, length: int = LENGTH) -> tuple[list[int], lis
 
 RANGE = pa.schema([("trigger", pa.int64()), ("phrase", pa.int64()), ("begin", pa.list_(pa.int32())), ("end", pa.list_(pa.int32()))])
 RANGE_SQL = "trigger long, phrase long, begin array<int>, end array<int>"
+PART = ("key", "low", "high", "trigger", "phrase", "n", "before", "back", "text")
 
 
 def ranges(columns: dict[str, list]) -> pa.RecordBatch:
     """Ranges of the phrases that occur once (the others are repeated whole)."""
-    groups = np.array(columns["trigger"], np.int64).view(np.uint64)
-    flags = shared_windows(groups, columns["text"], np.array(columns["before"]), np.array(columns["back"]))
+    groups = np.array(columns["key"], np.int64).view(np.uint64)
+    bounds = [np.array(columns[c], np.int64) for c in ("before", "back", "low", "high")]
+    flags = shared_windows(groups, columns["text"], *bounds)
     rows = []
     for i in np.flatnonzero(flags.any(axis=1)):
         if columns["n"][i] == 1:
@@ -216,47 +231,52 @@ def ranges(columns: dict[str, list]) -> pa.RecordBatch:
 
 
 def _order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Phrases come trigger by trigger; whole triggers are ordered together."""
-    held: dict[str, list] = {c: [] for c in ("trigger", "phrase", "n", "before", "back", "text")}
+    """Rows come key by key; whole keys are ordered together."""
+    held: dict[str, list] = {c: [] for c in PART}
     for batch in batches:
         for name, values in held.items():
             values += batch.column(batch.schema.get_field_index(name)).to_pylist()
-        own = held["trigger"]
+        own = held["key"]
         if len(own) >= ORDERED and own[0] != own[-1]:
             whole = own.index(own[-1])
-            if whole:
-                yield ranges({c: v[:whole] for c, v in held.items()})
-                held = {c: v[whole:] for c, v in held.items()}
-    if held["trigger"]:
+            yield ranges({c: v[:whole] for c, v in held.items()})
+            held = {c: v[whole:] for c, v in held.items()}
+    if held["key"]:
         yield ranges(held)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of a hot trigger's phrases under its 128-bit name."""
-    schema = pa.schema([("trigger", pa.int64()), ("phrase", pa.int64()), ("n", pa.int64()), ("ahead", pa.int16()), ("high", pa.int64()), ("low", pa.int64())])
-    for batch in batches:
-        rows = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("trigger", "phrase", "n", "before", "back", "text")}
-        out: list[list] = [[] for _ in schema]
-        for trigger, phrase, n, before, back, text in zip(*rows.values(), strict=True):
-            for ahead in range(back, before + 1):
-                name = xxhash.xxh3_128_digest(text[before - ahead : before - ahead + LENGTH])
-                row = (trigger, phrase, n, ahead, int.from_bytes(name[:8], "big", signed=True), int.from_bytes(name[8:], "big", signed=True))
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-            if len(out[0]) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
-                out = [[] for _ in schema]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
-
-
-def hot_ranges(hot: DataFrame) -> DataFrame:
-    """The same as ``_order`` gives, window by window; equal windows combine before the shuffle."""
-    windows = hot.mapInArrow(_windows, "trigger long, phrase long, n long, ahead short, high long, low long")
-    counts = windows.groupBy("trigger", "ahead", "high", "low").agg(F.sum("n").alias("times")).where("times > 1").drop("times")
-    shared = windows.where("n = 1").join(counts, ["trigger", "ahead", "high", "low"])
-    found = shared.groupBy("trigger", "phrase").agg(F.collect_set("ahead").alias("ahead"))
-    each = lambda end: F.transform(F.col("ahead"), lambda x: (F.lit(LENGTH) - x if end else -x).cast("int"))
-    return found.select("trigger", "phrase", each(False).alias("begin"), each(True).alias("end"))
+def counted(parts: DataFrame) -> DataFrame:
+    """Keys of which some window may be found: how many rows each has."""
+    sizes = parts.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least"))
+    return sizes.where("m > 1 AND least = 1").drop("least")
+
+
+def lengthened(parts: DataFrame) -> DataFrame:
+    """Each part as two with longer triggers: the bytes that all equal windows of a half share."""
+    middle = F.floor((F.col("low") + F.col("high") + 1) / 2).cast("int")
+    halves = F.array(F.struct(middle.alias("l"), F.col("high").alias("h")), F.struct(F.col("low").alias("l"), (middle - 1).alias("h")))
+    half = parts.withColumn("half", F.explode(halves)).withColumns({"low": F.col("half.l"), "high": F.col("half.h")}).drop("half")
+    own = half.where((F.col("before") >= F.col("low")) & (F.col("back") <= F.col("high")))
+    shared = F.substring(F.col("text"), F.col("before") - F.col("low") + 1, F.col("low") + F.lit(LENGTH) - F.col("high"))
+    return own.withColumn("key", F.xxhash64("trigger", "low", "high", shared))
+
+
+def found_ranges(parts: DataFrame, hot: int) -> DataFrame:
+    """Ranges of all parts; keys with over ``hot`` rows are dealt by longer triggers, until a key is one window."""
+    out = None
+    while True:
+        many = cut(counted(parts).where(F.col("m") > hot).select("key"), "many")
+        settled = many.isEmpty()
+        some = parts if settled else parts.join(many, "key", "left_anti")
+        found = some.select(*PART).repartition("key").sortWithinPartitions("key").mapInArrow(_order, RANGE_SQL)
+        out = found if out is None else out.unionByName(found)
+        if settled:
+            return out
+        large = parts.join(many, "key", "left_semi")
+        single = large.where("low = high AND n = 1")  # the key is the window, and it occurs again
+        each = [F.array((F.lit(x) - F.col("low")).cast("int")).alias(name) for x, name in ((0, "begin"), (LENGTH, "end"))]
+        out = out.unionByName(single.select("trigger", "phrase", *each))
+        parts = cut(lengthened(large.where("low < high")), "parts")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -272,25 +292,41 @@ def phrase_bytes(text: Column) -> Column:
     return F.substring(text.cast("binary"), F.col("at") - before + 1, before - back + F.lit(LENGTH))
 
 
-def repeated_ranges(own: DataFrame, hot: int = HOT) -> DataFrame:
+def among(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key is among ``keys`` (on, n: rows of it): those of frequent keys, at most
+    ``MOST_HOT`` of them and broadcast, and the others, joined by shuffle."""
+    limit = max(LEAST_HOT, total // MOST_HOT)
+    often = F.broadcast(keys.where(F.col("n") > limit).select(*on))
+    return rows.join(often, on, "left_semi"), rows.join(often, on, "left_anti").join(keys.where(F.col("n") <= limit).select(*on), on, "left_semi")
+
+
+def repeated_ranges(own: DataFrame, copies: DataFrame, several: bool, hot: int = HOT) -> DataFrame:
     """(d, k, spans): for every text with repeats, byte ranges (a list of begin and end)."""
-    parsed = own.select("text", "d", "k").mapInArrow(_parse, OCCURRENCE_SQL)
-    # Written down, so that the join shuffles both sides itself and Spark may split a hot trigger's rows.
-    often = cut(parsed.groupBy("trigger").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("trigger"), "often")
-    occurrences = cut(parsed.join(often, "trigger", "left_semi"), "occurrences")
+    parsed = cut(own.select("text", "d", "k").mapInArrow(_parse, OCCURRENCE_SQL), "parse")
+    often = cut(parsed.groupBy("trigger").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
+    frequent, others = among(parsed, often, ["trigger"], parsed.count())
+    occurrences = cut(frequent.unionByName(others), "occurrences")
     once = [F.first(c).alias(c) for c in ("d", "k", "at")]  # one row's, as all come from the same update
     by = ["trigger", "phrase", "before", "back"]
     dictionary = cut(occurrences.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *once), "dictionary")
-    several = dictionary.groupBy("trigger").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1")
-    near = dictionary.join(several.drop("least"), "trigger")
+    near = dictionary.join(counted(dictionary.withColumn("key", F.col("trigger"))).select(F.col("key").alias("trigger")), "trigger", "left_semi")
     texts = own.select(F.col("d").alias("td"), F.col("k").alias("tk"), "text")
+    if several:  # equal rows are cut once; their texts combine before the shuffle
+        same = copies.select(F.col("d").alias("td"), F.col("k").alias("tk"))
+        single = texts.join(same, ["td", "tk"], "left_semi").groupBy("td", "tk").agg(F.first("text").alias("text"))
+        texts = texts.join(same, ["td", "tk"], "left_anti").unionByName(single)
     at_text = near.join(texts, (F.col("d") == F.col("td")) & (F.col("k") == F.col("tk")))
-    phrase_rows = cut(at_text.select("trigger", "phrase", "n", "before", "back", "m", phrase_bytes(F.col("text")).alias("text")), "phrases")
-    cold = phrase_rows.where(F.col("m") <= hot).repartition("trigger").sortWithinPartitions("trigger")
-    some = cold.mapInArrow(_order, RANGE_SQL).unionByName(hot_ranges(phrase_rows.where(F.col("m") > hot)))
+    whole_reach = {"key": F.col("trigger"), "low": F.lit(0), "high": F.lit(LENGTH - TRIGGER)}
+    cast = [F.col(c).cast("int").alias(c) for c in ("before", "back")]
+    parts = cut(at_text.select("trigger", "phrase", "n", *cast, phrase_bytes(F.col("text")).alias("text")).withColumns(whole_reach), "phrases")
+    some = found_ranges(parts, hot)
+    # What occurs again is repeated whole: its range is the occurrence's own.
+    span = ["d", "k", "at", "begin", "end"]
     begin, end = F.array(-F.col("before").cast("int")), F.array(F.lit(LENGTH) - F.col("back").cast("int"))
-    whole = dictionary.where("n > 1").select("trigger", "phrase", begin.alias("begin"), end.alias("end"))
-    found = occurrences.select("trigger", "phrase", "d", "k", "at").join(whole.unionByName(some), ["trigger", "phrase"])
+    frequent, others = among(occurrences, dictionary.where("n > 1").select(*by, "n"), by, occurrences.count())
+    whole = frequent.unionByName(others).withColumns({"begin": begin, "end": end}).select(*span)
+    found = whole.unionByName(occurrences.join(some, ["trigger", "phrase"]).select(*span))
+    found = found.distinct() if several else found
     return found.groupBy("d", "k").agg(F.collect_list(F.struct("at", "begin", "end")).alias("spans"))
 
 
@@ -321,7 +357,19 @@ def _remove(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.Recor
 def remove_repeats(docs: DataFrame, texts: bool = True, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept: the remaining bytes."""
     own = keyed(docs)
-    spans = repeated_ranges(own, hot).select(F.col("d").alias("sd"), F.col("k").alias("sk"), "spans")
-    joined = own.join(spans, (F.col("d") == F.col("sd")) & (F.col("k") == F.col("sk")), "left").select("doc_id", "text", "spans")
+    copies = cut(own.groupBy("d", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "copies")
+    several = not copies.isEmpty()
+    spans = repeated_ranges(own, copies, several, hot).select(F.col("d").alias("sd"), F.col("k").alias("sk"), "spans")
+    salted, on = own, (F.col("d") == F.col("sd")) & (F.col("k") == F.col("sk"))
+    if several:  # equal rows in great number are dealt over as many copies of their spans, which are all the same
+        total = copies.agg(F.sum("n")).first()[0]
+        limit = max(LEAST_HOT, total // MOST_HOT)
+        parts = F.broadcast(copies.where(F.col("n") > limit).select("d", "k", F.ceil(F.col("n") / limit).cast("int").alias("parts")))
+        part = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("parts")), F.lit(0)).cast("int")
+        salted = own.join(parts, ["d", "k"], "left").withColumn("salt", part)
+        each = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("of")
+        spans = spans.join(parts, (F.col("d") == F.col("sd")) & (F.col("k") == F.col("sk")), "left").select("sd", "sk", "spans", each)
+        on = on & (F.col("salt") == F.col("of"))
+    joined = salted.join(spans, on, "left").select("doc_id", "text", "spans")
     schema = T.StructType([own.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])
     return joined.mapInArrow(partial(_remove, texts=texts), schema.add("kept", T.BinaryType()) if texts else schema)

@@ -32,7 +32,7 @@ def plain_repeats(texts, length=200):
     return out
 
 
-@pytest.mark.parametrize("hot", [repeats.HOT, 2])
+@pytest.mark.parametrize("hot", [repeats.HOT, 8, 2])
 def test_repeats_equal_brute_force(spark, hot):
     rng = random.Random(3)
     real = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60).collect()]
@@ -51,6 +51,44 @@ def test_repeats_equal_brute_force(spark, hot):
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in got)
 
 
+def test_equal_rows_in_great_number(spark):
+    rng = random.Random(8)
+    page = "".join(rng.choices("abcdefgh ", k=900))
+    other = "".join(rng.choices("abcdefgh ", k=500)) + page[300:700]
+    docs = spark.createDataFrame([(7, page)], "doc_id long, text string").crossJoin(spark.range(20_000).select()).repartition(4)
+    docs = docs.unionByName(spark.createDataFrame([(8, other), (None, page)], "doc_id long, text string"))
+    own = repeats.keyed(docs)
+    copies = own.groupBy("d", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    spans = repeats.repeated_ranges(own, copies, True).collect()
+    assert len(spans) == 3 and max(len(r.spans) for r in spans) < 50  # not once for each copy
+    got = repeats.remove_repeats(docs, texts=False).groupBy("doc_id", "n_removed").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert {(r.doc_id, r.n_removed, r.n) for r in got} == {(7, 900, 20_000), (8, 400, 1), (None, 900, 1)}
+
+
+def test_order_of_the_corpus_finds_what_windows_share():
+    rng = random.Random(1)
+    trigger = bytes(rng.choices(range(256), k=48))
+    heads, tails = [bytes(rng.choices(range(2), k=152)) for _ in range(4)], [bytes(rng.choices(range(2), k=152)) for _ in range(4)]
+    texts, before, back, groups = [], [], [], []
+    for _ in range(300):
+        a, b = rng.choice(heads)[-(n := rng.randint(0, 152)) or 152 :][: n if n else 0], rng.choice(tails)
+        l = rng.randint(0, n)
+        texts.append(a + trigger + b[: 152 - l])
+        before.append(n)
+        back.append(l)
+        groups.append(rng.randint(0, 1))
+    got = repeats.shared_windows(np.array(groups), texts, np.array(before), np.array(back), np.zeros(300, int), np.full(300, 152))
+    seen = defaultdict(list)
+    for i, t in enumerate(texts):
+        for l in range(back[i], before[i] + 1):
+            seen[groups[i], t[before[i] - l : before[i] - l + 200]].append((i, l))
+    want = np.zeros((300, 153), bool)
+    for places in seen.values():
+        for i, l in places:
+            want[i, l] = len(places) > 1
+    assert (got == want).all() and want.any() and not want.all()
+
+
 def test_triggers_are_chosen_by_content():
     rng = np.random.default_rng(0)
     common = rng.integers(97, 110, 400).astype(np.uint8)
