@@ -265,14 +265,20 @@ def found_ranges(parts: DataFrame, hot: int) -> DataFrame:
     """Ranges of all parts; keys with over ``hot`` rows are dealt by longer triggers, until a key is one window."""
     out = None
     while True:
-        many = cut(counted(parts).where(F.col("m") > hot).select("key"), "many")
-        settled = many.isEmpty()
-        some = parts if settled else parts.join(many, "key", "left_anti")
+        sizes = counted(parts).where(F.col("m") > hot)
+        many = cut(sizes.select("key", F.col("m").alias("n")), "many")
+        if many.isEmpty():
+            some, large = parts, None
+        else:
+            total = parts.count()
+            often, others = among(parts, many, ["key"], total)
+            large = cut(often.unionByName(others), "large")
+            limit = max(LEAST_HOT, total // MOST_HOT)
+            some = parts.join(F.broadcast(many.where(F.col("n") > limit)), "key", "left_anti").join(many.where(F.col("n") <= limit), "key", "left_anti")
         found = some.select(*PART).repartition("key").sortWithinPartitions("key").mapInArrow(_order, RANGE_SQL)
         out = found if out is None else out.unionByName(found)
-        if settled:
+        if large is None:
             return out
-        large = parts.join(many, "key", "left_semi")
         single = large.where("low = high AND n = 1")  # the key is the window, and it occurs again
         each = [F.array((F.lit(x) - F.col("low")).cast("int")).alias(name) for x, name in ((0, "begin"), (LENGTH, "end"))]
         out = out.unionByName(single.select("trigger", "phrase", *each))
