@@ -1,21 +1,31 @@
 """Secret scan: three base patterns and a battery of randomness tests.
 
-Base spans come from fixed patterns. The method adds ``random`` spans: for every
-token that mixes character classes an encoding is inferred (hex, base32,
-alphanumeric, base64), and three tests ask whether ordinary text of that length
-could look as random: chi-squared uniformity over the encoding's alphabet, runs
-of character classes, and serial correlation of neighbouring characters. Their
-p-values (small: ordinary text is an unlikely source) are combined by Fisher's
-method. Across the corpus a weighted Benjamini-Hochberg rule, with weights by
-token length, decides which of them count, so the share of false finds is
-controlled over all tokens and short tokens must be more extreme.
-
-The corpus part needs one histogram of p-values (``LENGTHS`` x ``BINS`` cells,
-whatever the input's size), which is all that is ever collected.
-
-Defined cases: a null or empty text has no spans; the base spans of one kind
-never overlap, and a random span that would overlap a base span is left out;
-repeated rows are scanned alike; an empty table gives an empty result.
+Base spans come from fixed patterns. The method adds ``random`` spans: of every token
+of 20 characters or more that no base span touches, an encoding is inferred (digits,
+letters of one case, hex, base32, alphanumeric, base64), and three tests ask whether ordinary
+text of that length could look as random: chi-squared uniformity over the encoding's
+alphabet, runs of character classes, and serial correlation of neighbouring characters.
+
+What is ordinary is fitted to the corpus's own tokens. Each test gives a standard
+score by ``ENCODINGS`` and the two numbers below it, which are a prior worth ``PRIOR``
+tokens; the middle and the quartiles of all tokens' scores put the tests on one scale. The
+tests depend on each other, so no rule for independent p-values is used: the scores are
+summed, and the null distribution of the sum, dependence included, is fitted to the
+same tokens' sums. Its tail towards random is the widest that any of the ``LEVELS`` of
+those sums shows that are not beyond doubt random (``FAR`` spreads off), so a kind of
+ordinary token that looks somewhat random widens it, and never narrower than the prior.
+Across the corpus a weighted Benjamini-Hochberg rule decides which tokens count: weights
+by length class, rescaled so that their mean over all tested tokens is 1, keep the share of
+false finds at ``FALSE_DISCOVERIES`` and ask more of short tokens.
+
+The tokens' scores are a narrow written table; only histograms of fixed size (of
+``SCORES`` for each test, and ``BINS`` p-values) are ever collected.
+
+Defined cases: a null or empty text has no spans; texts of any length are scanned whole;
+the base spans of one kind never overlap, and tokens that touch a base span are neither
+tested nor found again; tokens of one p-value bin count all or none; repeated rows are
+scanned alike and their tokens count each time; an empty table gives an empty result;
+further columns are ignored, or kept by ``redact``, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,15 +34,16 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shapeguard.llm.common import small, strings
+from shapeguard.llm.common import cut, small, strings
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -40,23 +51,35 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 SEPARATORS = {ord(c): None for c in "+/_-"}
-HAS_BOTH = re.compile(r"[0-9][+/_-]*[A-Za-z]|[A-Za-z][+/_-]*[0-9]")
 #: Keyword starts that make ASSIGN worth running; a text without them has no match.
 MAYBE_ASSIGN = re.compile(r"[:=]")
 
-#: (name, alphabet pattern, alphabet size, extra chi-squared per character that ordinary text shows over it)
+# Fixed values, the prior: (name, alphabet pattern, alphabet size, extra chi-squared per character that ordinary text shows over it)
 ENCODINGS = (
+    ("digits", re.compile(r"[0-9]+"), 10, 0.8),
+    ("lower", re.compile(r"[a-z]+"), 26, 1.0),
+    ("upper", re.compile(r"[A-Z]+"), 26, 1.0),
     ("hex", re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)"), 16, 0.9),
     ("base32", re.compile(r"[A-Z2-7]+=*"), 32, 1.6),
     ("alphanumeric", re.compile(r"[A-Za-z0-9]+"), 62, 3.0),
     ("base64", re.compile(r"[A-Za-z0-9+/_-]+=*"), 64, 3.2),
 )
-#: Share of class changes and lag-1 correlation in ordinary identifiers.
-PLAIN_CHANGES, PLAIN_CORRELATION = 0.12, 0.6
-#: Upper ends of the length classes and the weight of each in the false-discovery rule.
+#: Share of class changes in ordinary identifiers, and the size of their standardised lag-1 correlation.
+PLAIN_CHANGES, PLAIN_CORRELATION = 0.12, 1.5
+#: How many tokens the prior counts for.
+PRIOR = 50
+#: Scores are counted in tenths, up to this many of them on either side of 0.
+SCORES = 400
+#: Upper ends of the length classes and the weight of each in the false-discovery rule, before rescaling.
 LENGTHS = ((24, 0.5), (32, 0.8), (48, 1.1), (1 << 60, 1.6))
-BINS, PER_DECADE = 400, 10
-FALSE_DISCOVERIES = 0.001
+#: p-values are counted in tenths of a decade, down to LEAST_P.
+BINS, PER_DECADE, LEAST_P = 400, 10, 1e-39
+FALSE_DISCOVERIES = 0.01
+TESTS = 3
+#: Levels of the normal distribution at which the tail is looked at.
+LEVELS = {0.25: -0.6745, 0.16: -0.9945, 0.1: -1.2816, 0.05: -1.6449, 0.02: -2.0537, 0.01: -2.3263}
+#: Spreads from the middle beyond which a token says nothing of ordinary ones.
+FAR = 4.0
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -77,40 +100,98 @@ def classes(solid: str) -> list[int]:
     return [0 if c.isdigit() else 1 if c.islower() else 2 for c in solid]
 
 
-def evidence(token: str) -> float:
-    """How likely ordinary text is to look as random as ``token`` (Fisher's combination)."""
+def scores(token: str) -> tuple[float, float, float]:
+    """The three tests' scores by the inferred encoding; random tokens have low ones."""
     body = token.rstrip("=")
     n = len(body)
     k, extra = next((size, extra) for _, pattern, size, extra in ENCODINGS if pattern.fullmatch(token))
     chi2 = sum(c * c for c in Counter(body).values()) * k / n - n
-    p_uniform = normal_below((chi2 - (k - 1) - n * extra) / math.sqrt(2 * (k - 1) + 4 * n * extra))
-    solid = body.translate(SEPARATORS)  # dates and slugs alternate at these, which says nothing
+    uniform = (chi2 - (k - 1) - n * extra) / math.sqrt(2 * (k - 1) + 4 * n * extra)
+    solid = body.translate(SEPARATORS) or "0"  # dates and slugs alternate at these, which says nothing
     kinds, n = classes(solid), len(solid)
     changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
-    mean = (n - 1) * PLAIN_CHANGES
-    p_runs = normal_below((mean - changes) / math.sqrt(mean * (1 - PLAIN_CHANGES)))
+    mean = max(n - 1, 1) * PLAIN_CHANGES
+    runs = (mean - changes) / math.sqrt(mean * (1 - PLAIN_CHANGES))
     codes = [ord(c) for c in solid]
     mu = sum(codes) / n
     spread = sum((c - mu) ** 2 for c in codes)
     r = sum((a - mu) * (b - mu) for a, b in zip(codes, codes[1:])) / spread if spread else 1.0
     r = max(-0.999, min(0.999, r))
-    p_serial = normal_below((math.atanh(r) - math.atanh(PLAIN_CORRELATION)) * math.sqrt(max(1, n - 3)))
-    half = -sum(math.log(max(p, 1e-30)) for p in (p_uniform, p_runs, p_serial))
-    return math.exp(-half) * (1 + half + half * half / 2)
+    serial = abs(math.atanh(r)) * math.sqrt(max(1, n - 3)) - PLAIN_CORRELATION
+    return uniform, runs, serial
 
 
-def candidates(text: str) -> Iterator[tuple[int, int, float]]:
-    """Tokens that mix letters and digits, with their evidence."""
-    for m in TOKEN.finditer(text):
-        if HAS_BOTH.search(m[0]):
-            yield m.start(), m.end(), evidence(m[0])
+def tested(text: str, base: list[tuple[int, int, str]] | None = None) -> Iterator[tuple[int, int]]:
+    """Tokens that no base span touches."""
+    found = [m.span() for m in TOKEN.finditer(text)]
+    if found:
+        base = base_spans(text) if base is None else base
+        yield from (f for f in found if not any(s < f[1] and f[0] < e for s, e, _ in base))
 
 
-def cell(length: int, p: float) -> tuple[int, int]:
-    """The histogram cell: length class and tenths of a decade of the weighted p-value, rounded down."""
-    at = next(i for i, (most, _) in enumerate(LENGTHS) if length <= most)
-    weighted = max(p, 1e-39) / LENGTHS[at][1]
-    return at, max(0, min(BINS - 1, math.floor(-math.log10(weighted) * PER_DECADE)))
+def tenth(score: float) -> int:
+    return max(-SCORES, min(SCORES, math.floor(score * 10)))
+
+
+def length_class(length: int) -> int:
+    return next(i for i, (most, _) in enumerate(LENGTHS) if length <= most)
+
+
+@dataclass
+class Rule:
+    """The fitted null distributions (middle and spread of each test and, last, of their sum), the rescaled weights
+    of the length classes, and the lowest bin of p-values that counts."""
+
+    null: dict[int, tuple[float, float]] = field(default_factory=dict)
+    weights: tuple[float, ...] = tuple(w for _, w in LENGTHS)
+    least: int = BINS
+
+    def score(self, found: Iterable[float]) -> float:
+        """The sum of the tests' scores, each by its null distribution."""
+        return sum((z - self.null.get(test, (0.0, 1.0))[0]) / self.null.get(test, (0.0, 1.0))[1] for test, z in enumerate(found))
+
+    def p_value(self, found: Iterable[float]) -> float:
+        middle, spread = self.null.get(TESTS, (0.0, math.sqrt(TESTS)))
+        return max(LEAST_P, normal_below((self.score(found) - middle) / spread))
+
+    def bin(self, length: int, found: Iterable[float]) -> int:
+        """Tenths of a decade of the weighted p-value, rounded down."""
+        weighted = self.p_value(found) / self.weights[length_class(length)]
+        return max(0, min(BINS - 1, math.floor(-math.log10(weighted) * PER_DECADE)))
+
+
+def quantile(counts: dict[int, int], share: float) -> float:
+    """From counts of tenths, the middle of the tenth where the share is reached."""
+    total, reached = sum(counts.values()), 0
+    for t in sorted(counts):
+        reached += counts[t]
+        if reached >= share * total:
+            return (t + 0.5) / 10
+    return 0.0
+
+
+def fitted(counts: dict[int, int], prior: float = 1.0) -> tuple[float, float]:
+    """Middle and spread of most tokens from counts of tenths (the nearer quartile, as either side
+    may hold other kinds); the prior's middle is 0."""
+    n, middle = sum(counts.values()), quantile(counts, 0.5)
+    spread = min(middle - quantile(counts, 0.25), quantile(counts, 0.75) - middle) / -LEVELS[0.25]
+    share = n / (n + PRIOR)
+    return share * middle, prior + share * max(0.0, spread - prior)
+
+
+def tail(counts: dict[int, int], prior: float) -> tuple[float, float]:
+    """Middle and spread of the null distribution towards random."""
+    middle, spread = fitted(counts, prior)
+    rest = {t: n for t, n in counts.items() if t / 10 >= middle - FAR * spread}
+    n = sum(rest.values())
+    return middle, max([spread] + [(quantile(rest, level) - middle) / z for level, z in LEVELS.items() if level * n >= 5])
+
+
+def rescaled(lengths: dict[int, int]) -> tuple[float, ...]:
+    """The length classes' weights with mean 1 over the tokens."""
+    total = sum(lengths.values())
+    mean = sum(n * LENGTHS[c][1] for c, n in lengths.items()) / total if total else 1.0
+    return tuple(w / mean for _, w in LENGTHS)
 
 
 def least_bin(histogram: dict[int, int], rate: float = FALSE_DISCOVERIES) -> int:
@@ -124,31 +205,61 @@ def least_bin(histogram: dict[int, int], rate: float = FALSE_DISCOVERIES) -> int
     return least
 
 
-def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cells: Counter = Counter()
+MEASURED = pa.schema([("length", pa.int32()), *((f"z{i}", pa.float64()) for i in range(TESTS))])
+
+
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small(batches):
+        rows = []
         for text in strings(batch.column(0)):
-            cells.update(cell(e - s, p) for s, e, p in candidates(text))
-    rows = [{"length_class": a, "bin": b, "n": n} for (a, b), n in cells.items()]
-    yield pa.RecordBatch.from_pylist(rows, pa.schema([("length_class", pa.int64()), ("bin", pa.int64()), ("n", pa.int64())]))
+            for start, end in tested(text):
+                rows.append({"length": end - start} | {f"z{i}": z for i, z in enumerate(scores(text[start:end]))})
+        yield pa.RecordBatch.from_pylist(rows, MEASURED)
+
+
+def _counts(batches: Iterator[pa.RecordBatch], rule: Rule, sums: bool) -> Iterator[pa.RecordBatch]:
+    """How many tokens have each tenth of the summed score, or each bin of p-values."""
+    for batch in batches:
+        length, *z = (c.to_pylist() for c in batch.columns)
+        rows = zip(length, *z, strict=True)
+        counts = Counter(tenth(rule.score(found)) if sums else rule.bin(n, found) for n, *found in rows)
+        yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.int32()), pa.array(counts.values(), pa.int64())], names=["value", "n"])
+
+
+def learn(docs: DataFrame, rate: float = FALSE_DISCOVERIES) -> Rule:
+    """The corpus-wide rule, from all tokens of all texts."""
+    fields = "length int, " + ", ".join(f"z{i} double" for i in range(TESTS))
+    tokens = cut(docs.select(F.col("text").cast("string")).mapInArrow(_measure, fields), "tokens")
+
+    def counted(rows: DataFrame) -> dict[int, int]:
+        return {r["value"]: r["n"] for r in rows.collect()}
+
+    def by_rule(sums: bool) -> dict[int, int]:
+        return counted(tokens.mapInArrow(partial(_counts, rule=rule, sums=sums), "value int, n long").groupBy("value").agg(F.sum("n").alias("n")))
+
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("test"), tenths(F.col(f"z{i}")).alias("t")) for i in range(TESTS)])).alias("s")
+    by_test: dict[int, dict[int, int]] = {}
+    for r in tokens.select(each).groupBy("s.test", "s.t").agg(F.count(F.lit(1)).alias("n")).collect():
+        by_test.setdefault(r["test"], {})[r["t"]] = r["n"]
+    at = F.when(F.lit(False), 0)
+    for i, (most, _) in enumerate(LENGTHS):
+        at = at.when(F.col("length") <= most, i)
+    lengths = counted(tokens.groupBy(at.alias("value")).agg(F.count(F.lit(1)).alias("n")))
+    rule = Rule({test: fitted(counts) for test, counts in by_test.items()}, rescaled(lengths))
+    if lengths:
+        rule.null[TESTS] = tail(by_rule(True), math.sqrt(TESTS))
+        rule.least = least_bin(by_rule(False), rate)
+    return rule
 
 
-def discovery_bin(docs: DataFrame, rate: float = FALSE_DISCOVERIES) -> int:
-    """The corpus-wide decision: at most len(LENGTHS) * BINS rows reach the driver."""
-    cells = docs.select(F.col("text").cast("string")).mapInArrow(_histogram, "length_class long, bin long, n long")
-    rows = cells.groupBy("bin").agg(F.sum("n").alias("n")).collect()
-    return least_bin({r["bin"]: r["n"] for r in rows}, rate)
+def tenths(z: Column) -> Column:
+    return F.greatest(F.lit(-SCORES), F.least(F.lit(SCORES), F.floor(z * 10))).cast("int")
 
 
-def all_spans(text: str, least: int) -> tuple[list, list]:
+def all_spans(text: str, rule: Rule) -> tuple[list, list]:
     """Base spans, and base and random spans together."""
     base = base_spans(text)
-    taken = [(s, e) for s, e, _ in base]
-    more = [
-        (s, e, "random")
-        for s, e, p in candidates(text)
-        if cell(e - s, p)[1] >= least and not any(s < b and a < e for a, b in taken)
-    ]
+    more = [(s, e, "random") for s, e in tested(text, base) if rule.bin(e - s, scores(text[s:e])) >= rule.least]
     return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -160,11 +271,11 @@ FIELDS = [("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64
 SCHEMA = T.StructType([T.StructField(c, T.LongType() if t == pa.int64() else T.StringType()) for c, t in FIELDS])
 
 
-def _scan(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     for batch in small(batches):
         rows = []
         for text in strings(batch.column(1)):
-            base, every = all_spans(text, least)
+            base, every = all_spans(text, rule)
             kinds = Counter(kind for _, _, kind in base)
             rows.append({f"n_{k}": kinds[k] for k in KINDS[:3]} | {"base_spans": joined(base), "spans": joined(every)})
         found = pa.array(rows, pa.struct(FIELDS)).flatten()
@@ -175,7 +286,7 @@ def scan(docs: DataFrame, rate: float = FALSE_DISCOVERIES) -> DataFrame:
     """Spans of every text: doc_id and the columns of ``SCHEMA``."""
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     schema = T.StructType([own.schema["doc_id"], *SCHEMA])
-    return own.mapInArrow(partial(_scan, least=discovery_bin(docs, rate)), schema)
+    return own.mapInArrow(partial(_scan, rule=learn(docs, rate)), schema)
 
 
 def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -188,10 +299,10 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[at:]
 
 
-def _redact(batches: Iterator[pa.RecordBatch], least: int, at: int, count: int | None) -> Iterator[pa.RecordBatch]:
+def _redact(batches: Iterator[pa.RecordBatch], rule: Rule, at: int, count: int | None) -> Iterator[pa.RecordBatch]:
     for batch in small(batches):
         columns = list(batch.columns)
-        texts = [None if t is None else redacted(t, all_spans(t, least)[1]) for t in columns[at].to_pylist()]
+        texts = [None if t is None else redacted(t, all_spans(t, rule)[1]) for t in columns[at].to_pylist()]
         columns[at] = pa.array(texts, columns[at].type)
         if count is not None:
             columns[count] = pa.array([len(t or "") for t in texts], columns[count].type)
@@ -203,7 +314,7 @@ def redact(docs: DataFrame, rate: float = FALSE_DISCOVERIES) -> DataFrame:
     docs = docs.withColumn("text", F.col("text").cast("string"))
     at, names = docs.columns.index("text"), docs.columns
     count = names.index("n_chars") if "n_chars" in names else None
-    return docs.mapInArrow(partial(_redact, least=discovery_bin(docs, rate), at=at, count=count), docs.schema)
+    return docs.mapInArrow(partial(_redact, rule=learn(docs, rate), at=at, count=count), docs.schema)
 
 
 def sha256_hex(text: str) -> str:

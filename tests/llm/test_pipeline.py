@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 from pyspark.sql import functions as F
+from test_rows import plain_rule
 from shapeguard.llm import quality, queries, secrets, simhash
 
 SF = "/root/testdata/sf0.001"
@@ -44,9 +45,8 @@ def plain_pipeline(rows):
             a, b = find(a), find(b)
             root[max(a, b)] = min(a, b)
     alone = {i: kept[i] for i in kept if find(i) == i}
-    histogram = Counter(secrets.cell(e - s, p)[1] for t, _ in alone.values() for s, e, p in secrets.candidates(t))
-    least = secrets.least_bin(histogram)
-    clean = {i: (secrets.redacted(t, secrets.all_spans(t, least)[1]), s) for i, (t, s) in alone.items()}
+    rule = plain_rule([t for t, _ in alone.values()])
+    clean = {i: (secrets.redacted(t, secrets.all_spans(t, rule)[1]), s) for i, (t, s) in alone.items()}
     n = Counter(s for _, s in clean.values())
     tokenizer = Tokenizer.from_file(queries.word_tokenizer())
     out = Counter()

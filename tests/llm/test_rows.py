@@ -1,6 +1,7 @@
 """Operators that judge one document at a time, against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -85,17 +86,81 @@ def test_secret_base_spans(frame, docs, spark):
     assert got == want
 
 
+def plain_rule(texts, rate=secrets.FALSE_DISCOVERIES):
+    """The rule from a plain list of all tokens."""
+    tokens = [(e - s, secrets.scores(t[s:e])) for t in texts for s, e in secrets.tested(t)]
+    tenths = lambda values: sorted(max(-400, min(400, math.floor(z * 10))) / 10 + 0.05 for z in values)
+    level = lambda zs, share: zs[math.ceil(share * len(zs)) - 1]
+
+    def fit(zs, prior):
+        trust, middle = len(zs) / (len(zs) + secrets.PRIOR), level(zs, 0.5)
+        spread = min(middle - level(zs, 0.25), level(zs, 0.75) - middle) / 0.6745
+        return trust * middle, prior + trust * max(0.0, spread - prior)
+
+    null = {test: fit(tenths(z[test] for _, z in tokens), 1) for test in range(3)} if tokens else {}
+    if tokens:
+        sums = tenths(sum((x - null[t][0]) / null[t][1] for t, x in enumerate(z)) for _, z in tokens)
+        middle, spread = fit(sums, math.sqrt(3))
+        rest = [x for x in sums if x - 0.05 >= middle - secrets.FAR * spread - 1e-9]
+        null[3] = middle, max([spread, *((level(rest, p) - middle) / z for p, z in secrets.LEVELS.items() if p * len(rest) >= 5)])
+    raw = [next(w for most, w in secrets.LENGTHS if n <= most) for n, _ in tokens]
+    mean = sum(raw) / len(raw) if raw else 1.0
+    rule = secrets.Rule(null, tuple(w / mean for _, w in secrets.LENGTHS))
+    bins = sorted((rule.bin(*t) for t in tokens), reverse=True)
+    least = secrets.BINS
+    for b in sorted(set(bins), reverse=True):
+        if 10 ** (-b / 10) <= rate * sum(x >= b for x in bins) / len(bins):
+            least = b
+    rule.least = least
+    return rule
+
+
+BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
+def ordinary(rng, i):
+    word = lambda: rng.choice("section paragraph manual chapter release notes internal customer report archive annual service update".split())
+    return rng.choice([
+        lambda: f"{word()}_{i}_of_the_long_{word()}_{word()}", lambda: f"{word()}{i % 100}-{word()}{i % 7}-{word()}", lambda: f"20{i % 30:02d}-0{1 + i % 9}-1{i % 9}-{word()}-{word()}-part{i}",
+        lambda: "".join(word().title() for _ in range(4)), lambda: word() + word() + word(), lambda: f"/usr/{word()}/{word()}/{word()}{i}/{word()}", lambda: f"{word()}-" * 12 + word(),
+        lambda: "0" * rng.randint(20, 40), lambda: "-" * 30, lambda: word().upper() + "_" + word().upper() + "_" + word().upper(),
+    ])()
+
+
 def test_random_tokens_stand_out(spark):
     rng = random.Random(4)
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-    texts = [f"we saw {''.join(rng.choices(alphabet, k=44))} there" for _ in range(40)]
-    plain = [f"see section_{i}_of_the_long_manual and chapter12-paragraph{i} or 2024-01-01-release-notes-part{i}" for i in range(200)]
-    frame = spark.createDataFrame(list(enumerate(texts + plain)), "doc_id long, text string")
+    texts = [f"we saw {''.join(rng.choices(BASE64, k=44))} there" for _ in range(40)]
+    plain = [f"see {ordinary(rng, i)} and {ordinary(rng, i + 1)} or {ordinary(rng, i + 2)}" for i in range(300)]
+    frame = spark.createDataFrame(list(enumerate(texts + plain)), "doc_id long, text string").withColumn("z0", F.lit("clash")).withColumn("bin", F.lit(1))
     spans = {r.doc_id: r.spans for r in secrets.scan(frame).collect()}
-    assert sum("random:7:51" in spans[i] for i in range(40)) >= 36
-    assert not any(spans[i] for i in range(40, 240))
+    assert sum("random:7:51" in spans[i] for i in range(40)) >= 34
+    assert not any("random" in spans[i] for i in range(40, 340))  # zeros are hex spans
+    rule = plain_rule(texts + plain)
+    assert spans == {i: secrets.joined(secrets.all_spans(t, rule)[1]) for i, t in enumerate(texts + plain)}
     kept = {r.doc_id: r.text for r in secrets.redact(frame).collect()}
-    assert len(kept) == 240 and kept[50] == plain[10] and "[random removed]" in "".join(kept[i] for i in range(40))
+    assert len(kept) == 340 and "random" not in kept[50] and "[random removed]" in "".join(kept[i] for i in range(40))
+
+
+@pytest.mark.parametrize("rate, least_power", [(0.001, 0.3), (0.01, 0.45), (0.05, 0.6)])
+def test_false_discoveries_stay_under_the_rate(rate, least_power):
+    """Planted corpora: the mean share of ordinary tokens among all that are found."""
+    shares, power = [], []
+    for seed in range(30):
+        rng = random.Random(seed)
+        n = rng.choice([0, 3, 30, 100])
+        planted = {"".join(rng.choices(rng.choice([BASE64, BASE64[:62], "0123456789ABCDEF"]), k=rng.choice([28, 40, 64]))) for _ in range(n)}
+        texts = [*planted, *(ordinary(rng, i) for i in range(600))]
+        rule = plain_rule(texts, rate)
+        found = [t for t in texts if any(k == "random" for _, _, k in secrets.all_spans(t, rule)[1])]
+        shares.append(sum(t not in planted for t in found) / max(1, len(found)))
+        power += [sum(t in planted for t in found) / n] if n >= 30 else []
+    assert sum(shares) / len(shares) <= rate and sum(power) / len(power) > least_power
+
+
+def test_weights_have_mean_one_and_base_spans_are_not_tested():
+    weights = secrets.rescaled({0: 10, 1: 3, 3: 7})
+    assert abs(sum(n * weights[c] for c, n in {0: 10, 1: 3, 3: 7}.items()) / 20 - 1) < 1e-12
+    assert list(secrets.tested("key " + "ab12" * 8 + " token=" + "Zx9" * 10 + " " + "plainwords" * 3)) == [(74, 104)]
 
 
 def test_least_bin_is_weighted_benjamini_hochberg():
