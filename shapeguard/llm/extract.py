@@ -87,7 +87,6 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements that hold a text themselves: no class word counts for them, and no region is looked for in them.
 TEXTUAL = HEADINGS | {"p", "li", "td", "th", "dt", "dd", "pre", "blockquote", "figcaption", "address", "summary"}
 HEADERS = {"header", "heading"}
-SPACE = re.compile(r"\s+")
 #: Different pages on which a text must stand alike to be a host's fixed text.
 ENOUGH = 3
 NEVER = {"html", "body", "main"}
@@ -108,7 +107,7 @@ def furnished(names: str) -> set[str]:
 
 
 class Element:
-    __slots__ = ("tag", "key", "hidden", "skip", "always", "header", "hint")
+    __slots__ = ("tag", "key", "hidden", "skip", "always", "header", "hint", "mark")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag = tag
@@ -123,6 +122,7 @@ class Element:
         self.always = tag in CLOSED or self.hidden or bool(words & ALWAYS)
         self.header = tag == "header" or (tag not in NEVER | TEXTUAL | {"article"} and bool(HEADERS & set(names.split())))
         self.hint = tag in ("article", "main") and not words & ALWAYS
+        self.mark = self.skip * SKIPS | self.always * ALWAYS_SKIPS | self.hint * IS_HINT
 
 
 # Tokens of a page: ("<", Element), (">",) and ("#", text, linked characters).
@@ -132,6 +132,22 @@ OPTIONAL, REPEATED = 1, 2
 SKIPS, ALWAYS_SKIPS, IS_HINT = 1, 2, 4
 
 
+#: Attributes that say something of an element.
+TELLING = re.compile(r"(?i)class|id\s*=|role|hidden|style")
+KNOWN: dict[tuple[str, str], Element] = {}
+
+
+def element(tag: str, attributes: str) -> Element:
+    """The element of a tag; those seen before are kept, up to a number of them."""
+    key = tag, attributes if attributes and TELLING.search(attributes) else ""
+    found = KNOWN.get(key)
+    if found is None:
+        if len(KNOWN) > 50_000:
+            KNOWN.clear()
+        found = KNOWN[key] = Element(*key)
+    return found
+
+
 def parse(page: str) -> list[tuple]:
     """The page's tokens; every opening tag is closed."""
     tokens: list[tuple] = []
@@ -201,7 +217,7 @@ def parse(page: str) -> list[tuple]:
             elif tag == "br":
                 text.append(" ")
             continue
-        own = Element(tag, m[3])
+        own = element(tag, m[3])
         if tag in INLINE and not own.skip:
             inside_link = 1 if tag == "a" else inside_link
             continue
@@ -220,26 +236,33 @@ def parse(page: str) -> list[tuple]:
 
 
 def tidy(text: str) -> str:
-    return SPACE.sub(" ", text).strip()
+    return " ".join(text.split())
 
 
 def checksum(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass")) or 1
 
 
-def stream(tokens: list[tuple]) -> list[list]:
-    """A page's tokens as items of a wrapper. It is known by all of its texts: copies are one page."""
-    texts = [tidy(t[1]) if t[0] == "#" else "" for t in tokens]
-    page = checksum("\n".join(filter(None, texts)))
-    out: list[list] = []
-    for t, text in zip(tokens, texts, strict=True):
+def stream(tokens: list[tuple], learning: bool = True) -> list[list]:
+    """A page's tokens as items of a wrapper; what slots hold only if it is to be learnt. The
+    page is known by all of its texts: copies are one page."""
+    out, slots, page = [], [], 0
+    for t in tokens:
         if t[0] == "<":
             e = t[1]
-            out.append(["<", e.key, 0, e.skip * SKIPS | e.always * ALWAYS_SKIPS | e.hint * IS_HINT])
+            out.append(["<", e.key, 0, e.mark])
         elif t[0] == ">":
             out.append([">"])
+        elif learning:
+            text = tidy(t[1])
+            code = checksum(text)
+            page = zlib.crc32(code.to_bytes(4, "little"), page)
+            slots.append(["#", 0, code, None, len(text), min(t[2], len(text)), 1])
+            out.append(slots[-1])
         else:
-            out.append(["#", 0, checksum(text), [page], len(text), min(t[2], len(text)), 1])
+            out.append(["#", 0, 0, [], 0, 0, 0])
+    for slot in slots:
+        slot[3] = [page]
     return out
 
 
@@ -517,7 +540,7 @@ def blocks(tokens: list[tuple], at: int, stop: int, kept: set[str], gone: set[in
 
 def main_text(tokens: list[tuple], host: list[list], reading: Reading | None = None) -> str:
     """The blocks of a page's main region, by its host's wrapper."""
-    reading, own = reading or Reading(host), stream(tokens)
+    reading, own = reading or Reading(host), stream(tokens, False)
     closed, met = ends(own), {}
     align(host, own, met)
 
@@ -579,10 +602,11 @@ def wrappers(pages: DataFrame) -> DataFrame:
     own = pages.select(host_of().alias("host"), F.col("html").cast("string").alias("html"))
     found = cut(own.mapInArrow(_partial, WRAPPERS), "partial")
     parts = 1 + (found.agg(F.max("part")).first()[0] or 0)
-    while parts > 1:
+    while True:
         found = found.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("long")).groupBy("host", "part").applyInArrow(_merged, WRAPPERS)
         parts = -(-parts // FAN_IN)
-    return found.groupBy("host").applyInArrow(_merged, WRAPPERS).select("host", "wrapper")
+        if parts == 1:
+            return found.select("host", "wrapper")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
