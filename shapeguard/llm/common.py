@@ -31,13 +31,28 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, tag: str) -> str:
+    """The path of ``df`` as a table in the shared folder."""
+    path = fresh_path(df.sparkSession, tag)
+    df.write.option("compression", "zstd").parquet(path)
+    return path
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: later jobs
     neither recompute it nor depend on the executors that made it."""
-    spark = df.sparkSession
-    path = fresh_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, tag))
+
+
+def stored(path: str, rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a written table, for a task that goes through all of them."""
+    from pyarrow import fs, parquet
+
+    store, root = fs.FileSystem.from_uri(path)
+    for file in sorted(store.get_file_info(fs.FileSelector(root)), key=lambda f: f.path):
+        if file.path.endswith(".parquet"):
+            with store.open_input_file(file.path) as stream:
+                yield from parquet.ParquetFile(stream).iter_batches(batch_size=rows)
 
 
 def free(columns: Iterable[str], *names: str) -> list[str]:

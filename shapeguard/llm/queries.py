@@ -41,8 +41,7 @@ def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = topk.usable(table(spark, sf_dir, "embeddings"))
-    return topk.search(vectors.where("vec_id % 100 = 0"), vectors)
+    return topk.search(topk.usable(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,7 +92,7 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string, n long")
     assert simhash.near_duplicates(none).count() == mixing.mix(none).count() == 0
     vectors = topk.usable(spark.createDataFrame([], "vec_id long, embedding array<float>"))
-    assert topk.search(vectors, vectors).count() == 0
+    assert topk.search(vectors, F.lit(True)).count() == 0
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
@@ -100,22 +100,24 @@ def test_top_k_equals_brute_force(spark):
     rng = random.Random(2)
     rows = [(i, [rng.choice([-1.5, -0.3, 0.25, 0.7, 0.0]) for _ in range(20)]) for i in range(500)]
     rows += [(600, rows[3][1]), (601, rows[3][1]), (601, rows[3][1]), (602, rows[100][1][:7]), (700, None), (701, [None] * 20), (702, [float("nan")] * 20), (703, [float("-inf")] * 20), (None, rows[4][1]), (704, []), (800, [1.0] * 20)]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).withColumn("v", F.lit(2))
+    rows += [(100, rows[5][1]), (100, rows[5][1]), (200, [2.0] * 25)]  # query ids that repeat
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).withColumn("v", F.lit(2)).withColumn("row", F.lit(3)).repartition(3)
     vectors = topk.usable(frame)
     ints = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and i not in (700, 701, 702, 703)]
-    want = set()
-    for q, v in {i: v for i, v in ints if i % 100 == 0}.items():
-        best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ints if i != q)[:10]
-        want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(best)}
-    for blocks in ({}, {"row_block": 64, "query_block": 2}):
-        got = topk.search(vectors.where("vec_id % 100 = 0"), vectors, 10, **blocks).collect()
-        assert {tuple(r) for r in got} == want and len(got) == 10 * len({q for q, *_ in want})
+    want = Counter()
+    for own, (q, v) in enumerate(ints):
+        if q % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for at, (i, w) in enumerate(ints) if at != own)[:10]
+            want.update((q, r + 1, i, -s) for r, (s, i) in enumerate(best))
+    for sizes in ({}, {"row_block": 64, "query_chunk": 2, "pilot": 30, "held": 1 << 14}, {"pilot": 3}):
+        got = topk.search(vectors, F.col("vec_id") % 100 == 0, 10, **sizes).collect()
+        assert Counter(map(tuple, got)) == want and len(got) == 10 * 10
 
 
 def test_top_k_of_large_components_saturates(spark):
     rows = [(0, [1e30, 1.0]), (1, [1e30, 2.0]), (2, [-1e30, 0.0])]
     vectors = topk.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
-    got = {r.vec_id: r.score for r in topk.search(vectors.where("vec_id = 0"), vectors).collect()}
+    got = {r.vec_id: r.score for r in topk.search(vectors, F.col("vec_id") == 0).collect()}
     assert got[1] == 2**63 - 1 and got[2] == -(2**63) + 1
 
 
