@@ -6,7 +6,7 @@ shuffle however many columns there are; counts combine before it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +30,16 @@ def long_form(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.unpivot([quoted(c) for c in own], [quoted(c) for c in columns], "column", "cell")
 
 
+def reduce_columns(df: DataFrame, parts: Mapping[str, tuple[str, Callable[[Column], Column]]]) -> DataFrame:
+    """One row: each named aggregate of its column's cells, all in one pass."""
+    return df.agg(*[fold(quoted(column)).alias(name) for name, (column, fold) in parts.items()])
+
+
+def reduce_rows(df: DataFrame, columns: Sequence[str], fold: Callable[..., Column]) -> DataFrame:
+    """One row: an aggregate over rows, told of several columns' cells at once."""
+    return df.agg(fold(*map(quoted, columns)))
+
+
 def infer_types(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """column, value_type from each column's first 500 non-blank cells.
 

@@ -591,17 +591,29 @@ def journal_summary(s: SparkSession, d: str) -> DataFrame:
     return steps(s, list(own.journal.summary().items()))
 
 
+def answered_sql(where: str) -> str:
+    """Whether a count is answered, as a DuckDB condition."""
+    n = f"(SELECT count(*) FROM messy WHERE {where})"
+    return f"({n} = 0 OR {n} >= {K})"
+
+
+MANADO = answered_sql("city = 'Manado'")
+CHANGED = f"(SELECT count(*) FROM messy WHERE name <> {T_['name']})"
 SESSION_ORACLES = {
-    "budget_ledger": [("count", "answered 2"), ("count", "answered 1"), ("count", "answered 0"), ("count", "refused 0")],
-    "reveal_flow": [("row 1", "granted"), ("row 2", "refused"), ("row 2", "alreadyRefused"), ("row 1000000000", "invalid")],
-    "ask_human_timeout": [("answer", "Leave it"), ("answered by", "nobody")],
-    "report_discrepancy": [("refusals", "1"), ("omitted", "1")],
-    "journal_summary": [("tool_calls", "3"), ("suppressed_answers", "1"), ("transforms_applied", "0"), ("reveals_requested", "1"), ("reveals_granted", "1")],
+    # Three questions a column; a small group is refused and costs one as well.
+    "budget_ledger": f"SELECT CAST(i AS INTEGER) AS step, 'count' AS what, CASE WHEN i >= 3 THEN 'refused 0' WHEN {answered_sql(duck.blank('email'))} THEN 'answered ' || (2 - i) ELSE 'refused ' || (2 - i) END AS result FROM range(4) t(i)",
+    # One person, who grants row 1 only; a refused row stays refused, a row that isn't there is no question.
+    "reveal_flow": "SELECT CAST(step AS INTEGER) AS step, 'row ' || r AS what, CASE WHEN r NOT IN (SELECT row_id FROM messy) THEN 'invalid' WHEN r = 1 THEN 'granted' "
+    "WHEN row_number() OVER (PARTITION BY r ORDER BY step) > 1 THEN 'alreadyRefused' ELSE 'refused' END AS result FROM (VALUES (0, 1), (1, 2), (2, 2), (3, 1000000000)) t(step, r)",
+    "ask_human_timeout": "SELECT CAST(i AS INTEGER) AS step, what, result FROM (SELECT 0 AS i, 'answer' AS what, list_extract(['This', 'That', 'Leave it'], -1) AS result UNION ALL SELECT 1, 'answered by', 'nobody') WHERE (SELECT count(*) FROM messy) > 0",
+    "report_discrepancy": f"SELECT CAST(i AS INTEGER) AS step, what, CASE WHEN {MANADO} THEN CASE what WHEN 'omitted' THEN 'None' ELSE '0' END ELSE '1' END AS result FROM (VALUES (0, 'refusals'), (1, 'omitted')) t(i, what)",
+    "journal_summary": f"SELECT CAST(i AS INTEGER) AS step, what, CAST(n AS VARCHAR) AS result FROM (SELECT 0 AS i, 'tool_calls' AS what, 3 AS n UNION ALL SELECT 1, 'suppressed_answers', CASE WHEN {MANADO} THEN 0 ELSE 1 END "
+    "UNION ALL SELECT 2, 'transforms_applied', 0 UNION ALL SELECT 3, 'reveals_requested', count(*) FROM messy WHERE row_id = 1 UNION ALL SELECT 4, 'reveals_granted', count(*) FROM messy WHERE row_id = 1)",
+    "proposal_flow": f"SELECT CAST(i AS INTEGER) AS step, what, result FROM (SELECT 0 AS i, 'proposed' AS what, CAST({CHANGED} AS VARCHAR) AS result UNION ALL SELECT 1, 'applied', 'applied' UNION ALL SELECT 2, 'again', 'alreadyCommitted' "
+    f"UNION ALL SELECT 3, 'undone', CAST({CHANGED} AS VARCHAR) UNION ALL SELECT 4, 'empty', 'empty')",
 }
 for run in (budget_ledger, reveal_flow, ask_human_timeout, report_discrepancy, journal_summary, proposal_flow):
-    rows = SESSION_ORACLES.get(run.__name__)
-    values = ", ".join(f"({i}::INTEGER, '{a}', '{b}')" for i, (a, b) in enumerate(rows or []))
-    add(run.__name__, run, f"SELECT * FROM (VALUES {values}) t(step, what, result)" if rows else None)
+    add(run.__name__, run, duck.with_messy(SESSION_ORACLES[run.__name__]))
 
 CSV = '﻿name;phone;phone;;a;a;a (2)\n"Ani; Wijaya";007;"say ""hi""";x;1;2;3\n\n;;;;;;\nshort;1\nlong;1;2;3;4;5;6;7\n" spaced ";"two\nlines";;;;;\n'
 
@@ -634,9 +646,28 @@ add(
     + ", ".join(f"({i}::BIGINT, {duck.lit(n)}, {duck.lit(v.replace(chr(10), chr(92) + 'n'))})" for i, row in enumerate(INGESTED) for n, v in zip(NAMES, row, strict=True))
     + ") t(row_id, column_name, cell)",
 )
-add("csv_ragged", csv_ragged)
+#: Quoted cells become one letter, so that lines are records and semicolons part cells.
+CSV_RECORDS = (
+    f"r AS (SELECT unnest(string_split(regexp_replace({duck.lit(CSV)}, '\"(?:[^\"]|\"\")*\"', 'q', 'g'), chr(10))) AS line), "
+    "c AS (SELECT len(string_split(line, ';')) AS cells, row_number() OVER () AS pos FROM r WHERE regexp_replace(line, '[; ]', '', 'g') <> ''), "
+    "w AS (SELECT cells AS width FROM c WHERE pos = 1), f AS (SELECT count(*) FILTER (cells < width) AS short, count(*) FILTER (cells > width) AS long FROM c, w WHERE pos > 1)"
+)
+add(
+    "csv_ragged",
+    csv_ragged,
+    f"WITH {CSV_RECORDS}, m AS (SELECT 0 AS i, 'the header \"phone\" occurs again and was renamed \"phone (2)\"' AS result UNION ALL SELECT 1, 'column 4 has an empty header and was named \"column 4\"' "
+    "UNION ALL SELECT 2, 'the header \"a\" occurs again and was renamed \"a (2)\"' UNION ALL SELECT 3, 'the header \"a (2)\" occurs again and was renamed \"a (2) (2)\"' "
+    "UNION ALL SELECT 4, short || ' row(s) had fewer cells than the header; the missing cells are empty' FROM f WHERE short > 0 "
+    "UNION ALL SELECT 5, long || ' row(s) had more cells than the header; the extra cells were left out' FROM f WHERE long > 0) "
+    "SELECT CAST(i AS INTEGER) AS step, 'warning' AS what, result FROM m",
+)
 add(
     "column_reduce",
-    lambda s, d: messy(s, d).agg(F.count_if(~is_blank(quoted("notes"))).alias("filled"), F.max(F.length("name")).alias("longest")),
+    lambda s, d: profile.reduce_columns(messy(s, d), {"filled": ("notes", lambda c: F.count_if(~is_blank(c))), "longest": ("name", lambda c: F.max(F.length(c)))}),
     duck.with_messy(f"SELECT count(*) FILTER (NOT ({duck.blank('notes')})) AS filled, CAST(max(length(name)) AS INTEGER) AS longest FROM messy"),
 )
+add(
+    "row_reduce",
+    lambda s, d: profile.reduce_rows(messy(s, d), ["name", "city"], lambda name, city: F.count_if(F.length(name) > F.length(city)).alias("longer")),
+    duck.with_messy("SELECT count(*) FILTER (length(name) > length(city)) AS longer FROM messy"),
+)

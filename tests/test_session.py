@@ -1,7 +1,10 @@
 """Predicates, guard policies, sessions, journals, ingest and sinks."""
 
+import csv
+import io
 import json
 import pathlib
+import random
 import re
 
 import pytest
@@ -221,3 +224,39 @@ def test_the_cause_of_a_gate_is_who_was_first():
     assert gate.wait() == "safe" and gate.cause == "timeout" and not gate.settle("late") and gate.wait() == "safe"
     gate = Gate("safe", 5)
     assert gate.settle("said") and gate.wait() == "said" and gate.cause == "answered"
+
+
+def test_a_folder_of_files_with_quoted_line_ends(spark, tmp_path):
+    rows = {"a.csv": [["1", "x\ny"], ["2", 'say "hi"'], ["3", "5\" pipe"]], "b.csv": [["4", "p"], ["5", "q\n\n\"r,\"\ns"]], "c.csv": [["6", ""]]}
+    for name, own in rows.items():
+        cell = lambda c: c if c == '5" pipe' else '"' + c.replace('"', '""') + '"'  # noqa: E731  a quote inside a bare cell is a character
+        (tmp_path / name).write_text("id,note\n" + "".join(f"{a},{cell(b)}\n" for a, b in own))
+    got = csv_source.read_csv(spark, str(tmp_path))
+    want = [r for own in rows.values() for r in own]
+    assert [[r.id, r.note] for r in got.dataset.df.orderBy(ROW_ID).collect()] == want and got.warnings == ()
+    (tmp_path / "d.csv").write_text("7,no header\n8,none\n")
+    got = csv_source.read_csv(spark, str(tmp_path))
+    assert got.dataset.row_count == 8 and len(got.warnings) == 1 and got.dataset.df.orderBy(ROW_ID).collect()[-2].id == "7"
+
+
+def test_records_across_pieces_of_a_file(spark, tmp_path):
+    rng = random.Random(4)
+    cells = [[str(i), "".join(rng.choices('ab",\n\r;x', k=rng.randint(0, 30)))] for i in range(3000)]
+    text = io.StringIO()
+    csv.writer(text, quoting=csv.QUOTE_ALL, lineterminator="\n").writerows([["id", "note"], *cells])
+    path = tmp_path / "one.csv"
+    path.write_bytes(text.getvalue().encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert spark.read.text(str(path)).rdd.getNumPartitions() > 8
+        got = csv_source.read_csv(spark, str(path), delimiter=",").dataset.df.orderBy(ROW_ID).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [[r.id, r.note] for r in got] == cells
+
+
+@pytest.mark.parametrize("text, quoted, want", [('a,"b', 0, 1), ('a,b"', 0, 0), ('b",c', 1, 0), ('b""c', 1, 1), ('"a"b"', 0, 0), ('x","y', 1, 1), ("plain", 1, 1), ('a\r"b', 0, 1)])
+def test_open_cells(text, quoted, want):
+    assert csv_source.ends_quoted(text, bool(quoted), ",") == bool(want)
