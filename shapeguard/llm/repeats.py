@@ -315,7 +315,9 @@ def repeated_ranges(own: DataFrame, copies: DataFrame, several: bool, hot: int =
     once = [F.first(c).alias(c) for c in ("d", "k", "at")]  # one row's, as all come from the same update
     by = ["trigger", "phrase", "before", "back"]
     dictionary = cut(occurrences.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *once), "dictionary")
-    near = dictionary.join(counted(dictionary.withColumn("key", F.col("trigger"))).select(F.col("key").alias("trigger")), "trigger", "left_semi")
+    compared = cut(counted(dictionary.withColumn("key", F.col("trigger"))).select(F.col("key").alias("trigger"), F.col("m").alias("n")), "compared")
+    frequent, others = among(dictionary, compared, ["trigger"], dictionary.count())
+    near = frequent.unionByName(others)
     texts = own.select(F.col("d").alias("td"), F.col("k").alias("tk"), "text")
     if several:  # equal rows are cut once; their texts combine before the shuffle
         same = copies.select(F.col("d").alias("td"), F.col("k").alias("tk"))
